@@ -87,7 +87,7 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> np.ndarray:
                 bins.put(room - left * length, run[0] + full, 1)
                 rank, left, full = rank + left, 0, full + 1
             bins.put(room, run[0] + full, run[1] - full)
-    return np.array(rows, np.int64).reshape(-1, 5)
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
 def _pieces(tokenizer_file: str, end_id: int, capacity: int):
