@@ -79,7 +79,7 @@ def test_round_trip(spark, tmp_path):
     got = {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in archive_pages(pages).collect()}
     sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
     want = {(k, 1500, sha(long), "response" if k == 5 else "revisit", None if k == 5 else 5) for k in (1, 5, 3, None)}
-    want |= {(k, 5, sha("short"), "response", None) for k in (4, 6)} | {(7, 0, sha(""), "response", None), (8, 1014, sha(rows[6][2]), "response", None)}
+    want |= {(k, 5, sha("short"), "response", None) for k in (4, 6)} | {(7, 0, sha(""), "response", None), (8, 1015, sha(rows[6][2]), "response", None)}
     assert got == want
     assert archive_pages(pages.limit(0)).count() == 0
     path = str(tmp_path / "warc")
