@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Only used where the session names no spark.checkpoint.dir (tests, one machine).
 LOCAL_SHARED = "file:///tmp/checkpoints"
@@ -73,3 +74,10 @@ def ship(spark: SparkSession) -> None:
                     archive.write(path, os.path.relpath(path, root))
     context.addPyFile(target)
     _shipped.add(context.applicationId)
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Rows of (id, `by`): of each value of `by` some `most` rows, or all if there are fewer. Which, the ids' hashes say."""
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
+    unit = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.join(counts, by).filter(unit * F.col("__n") < most).drop("__n")

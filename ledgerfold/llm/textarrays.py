@@ -76,3 +76,42 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         np.cumsum(_BYTE[data] * _power_table(_BASE, len(data)), out=sums[1:])
         own = (sums[ends] - sums[starts]) * _power_table(_INVERSE, len(data) + 1)[starts]
         return mix(own + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' code points in a row, and where each text's begin and, one further, end."""
+    raw = data.tobytes()
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:  # not UTF-8: each text alone, wrong bytes replaced
+        parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+        return np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    count = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=count[1:])
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32), count[at]
+
+
+def gram_slots(points: np.ndarray, at: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every place, the slot (below 2 ** bits) of the n code points from there, and whether they are all of
+    one text. Slots of different n are unrelated."""
+    size = len(points) - n + 1
+    if size <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    with np.errstate(over="ignore"):
+        h = np.full(size, n * 0x51ED27, np.uint64)
+        for k in range(n):
+            h = h * np.uint64(0x9FB21C651E98DF25) + points[k : k + size]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    whole = np.ones(size, bool)
+    for k in range(1, n):
+        last = at[1:] - k
+        whole[last[(last >= 0) & (last < size)]] = False
+    return (h >> np.uint64(64 - bits)).astype(np.int64), whole
+
+
+def sums_by_text(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the values at each text's places. values may end earlier than the last text."""
+    total = np.zeros((len(values) + 1, *values.shape[1:]))
+    np.cumsum(values, axis=0, out=total[1:])
+    ends = np.minimum(at, len(values))
+    return total[ends[1:]] - total[ends[:-1]]
