@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import ship, written
 from .textarrays import slices, text_bytes
 
+SLICE_BYTES = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
@@ -94,14 +95,14 @@ def _pieces(tokenizer_file: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from .word_ids import WordIds
+        from .word_ids import shared_encoder
 
-        encoder, part = WordIds(tokenizer_file, end_id), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(tokenizer_file, end_id), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             data, at = text_bytes(batch.column(1))
             ids = batch.column(0)
-            for i, j in slices(at):
+            for i, j in slices(at, SLICE_BYTES):
                 flat, bounds = encoder.encode(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 total = np.diff(bounds)
                 n = -(-total // capacity)

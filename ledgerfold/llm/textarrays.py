@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 18
+SLICE_BYTES, SLICE_TEXTS = 1 << 18, 1 << 12
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -32,12 +32,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts that have `most` bytes at most, or are a single longer one."""
+    """Ranges of SLICE_TEXTS texts at most that have `most` bytes at most, or are a single longer one."""
     i, n = 0, len(at) - 1
     while i < n:
-        j = max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(n, i + SLICE_TEXTS, max(i + 1, int(np.searchsorted(at, at[i] + most, "right")) - 1))
+        yield i, j
+        i = j
 
 
 def _powers(n: int, base: int) -> np.ndarray:

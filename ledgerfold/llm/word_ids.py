@@ -19,6 +19,11 @@ _KIND[0x80:] = _OTHER
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+#: Byte-level tokenizers write bytes as characters: printable ones of Latin-1 stand for themselves, the others
+#: are numbered from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
+
 
 def chunk_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where chunks begin and end in data (lower-case bytes of texts that begin at `at`)."""
@@ -43,6 +48,17 @@ def chunk_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[own], ends[own]
 
 
+_shared: dict[tuple, WordIds] = {}
+
+
+def shared_encoder(tokenizer_file: str, last_id: int) -> WordIds:
+    """The encoder of this Python worker, which keeps its cache from task to task."""
+    key = (tokenizer_file, last_id)
+    if key not in _shared:
+        _shared[key] = WordIds(*key)
+    return _shared[key]
+
+
 class WordIds:
     """Encodes slices of texts. The cache is emptied when it holds max_chunks chunks, which bounds its memory."""
 
@@ -50,6 +66,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.model = self.tokenizer.model
         self.last_id, self.max_chunks = last_id, max_chunks
         self.forget()
 
@@ -60,9 +77,18 @@ class WordIds:
         self.start, self.length, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 1
         self.length[0] = 1
 
-    def _add(self, hashes: list[int], chunks: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            ids = e.ids
+    def _ids(self, chunk: bytes) -> list[int]:
+        """A chunk's ids. Words of Latin letters go right to the tokenizer's model, as its byte-level characters."""
+        if chunk.isalpha():
+            return [token.id for token in self.model.tokenize(chunk.decode())]
+        text = chunk.decode("utf-8", "replace")
+        if max(text) < "\u0180" and text.isalpha() and len(low := text.lower()) == len(text):
+            return [token.id for token in self.model.tokenize(low.encode().decode("latin-1").translate(_BYTE_CHARACTERS))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _add(self, hashes: list[int], chunks: list[bytes]) -> None:
+        for h, chunk in zip(hashes, chunks, strict=True):
+            ids = self._ids(chunk)
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
             if self.count == len(self.start):
@@ -91,7 +117,7 @@ class WordIds:
         keys = hashes.tolist()
         new = [k for k, h in enumerate(keys) if h not in self.known]
         if new:
-            self._add([keys[k] for k in new], [low[a:b].decode("utf-8", "replace") for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            self._add([keys[k] for k in new], [low[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
         index = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
         per_text = np.bincount(np.searchsorted(at, starts, "right") - 1, minlength=n)[:n] if len(starts) else np.zeros(n, np.int64)
         index = np.insert(index, np.cumsum(per_text), 0)  # entry 0 is last_id

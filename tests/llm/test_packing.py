@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from ledgerfold.llm.packing import best_fit_decreasing, pack
 from ledgerfold.llm.textarrays import slices, text_bytes
-from ledgerfold.llm.word_ids import WordIds
+from ledgerfold.llm.word_ids import shared_encoder
 
 FILE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -56,7 +56,8 @@ ODD = ["", "don't 's 'The it's—ok 2nd v2.0 É.x ÷a ×b ÀÉ'l ***the 'em naï
 
 
 def encoded(texts):
-    words = WordIds(FILE, 1)
+    words = shared_encoder(FILE, 1)
+    words.forget()
     data, at = text_bytes(pa.array(texts, pa.string()))
     out = []
     for i, j in slices(at, 64):
@@ -66,14 +67,14 @@ def encoded(texts):
 
 
 def test_ids_are_the_tokenizers():
-    tokenizer = Tokenizer.from_file(FILE)
+    tokenizer = shared_encoder(FILE, 1).tokenizer
     assert encoded([*ODD, None]) == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in [*ODD, ""]]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aBzÉéß'’.-# \n\t ́ΣςİKıŒœ×÷12٣€日<|>"), max_size=20), min_size=1, max_size=4))
 def test_ids_of_any_text(texts):
-    tokenizer = Tokenizer.from_file(FILE)
+    tokenizer = shared_encoder(FILE, 1).tokenizer
     assert encoded(texts) == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
