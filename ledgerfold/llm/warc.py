@@ -1,8 +1,9 @@
 """WARC archives: records with payload digests and revisits, and a reader that salvages damaged files.
 
 Writing: every page becomes one record. Pages whose payloads are equal and long enough refer to the one that is
-stored in full. Records are rows of Spark's text sink, whose line separator is the record terminator, so files
-are committed by Spark as they are in any other job, and a lost executor costs its tasks only.
+stored in full. Records (gzip members, or plain) are rows of Spark's text sink, whose line separator is an empty
+member or the record terminator, so files are committed by Spark as they are in any other job, and a lost
+executor costs its tasks only.
 
 Reading: a file (plain, or gzip with a member a record) is walked from record to record. Where a check fails
 (version line, header, lengths, terminator, digest, gzip checks), the reader searches for the next version line or
@@ -11,6 +12,7 @@ member that passes its checks, goes on there, and logs the bytes between as a qu
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -20,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, ship
+from .common import scratch_path, ship, written
 
 VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _STEP = 1 << 16
+NOTHING = gzip.compress(b"", mtime=0)
 END = "\r\n\r\n"
 RECORD_ID = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -68,9 +71,29 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return found.select("page_id", F.concat(head, F.lit("\r\n"), block).alias("record"))
 
 
-def write_warc(records: DataFrame, path: str, *, records_per_file: int = 2000) -> None:
-    """Writes the rows of `record` as plain WARC files below path. Bounded files keep a reader's memory bounded."""
-    records.select(F.col("record").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held, size = [], 0
+        for record in batch.column(0):
+            held.append(gzip.compress((record.as_py() + END).encode(), 6, mtime=0))
+            size += len(held[-1])
+            if size > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
+                held, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
+
+
+def write_warc(records: DataFrame, path: str, *, records_per_file: int = 2000, compressed: bool = True) -> None:
+    """Writes the rows of `record` as WARC files below path: compressed, one gzip member a record, or plain. Bounded
+    files keep a reader's memory bounded."""
+    if compressed:
+        ship(records.sparkSession)
+        # The sink writes a string's bytes as they are; between two it puts a member that holds nothing.
+        rows = records.select("record").mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+        sink = rows.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1"))
+    else:
+        sink = records.select(F.col("record").alias("value")).write.option("lineSep", END)
+    sink.option("maxRecordsPerFile", records_per_file).text(path)
 
 
 def _header(raw: bytes, start: int) -> tuple[dict[bytes, bytes], int] | None:
@@ -210,6 +233,7 @@ def resolved(records: DataFrame) -> DataFrame:
     own = records.filter("kind = 'record'").select(
         F.expr("try_cast(record_id AS long)").alias("page_id"), F.octet_length("payload").cast("long").alias("size"), "payload_digest", "record_type", F.expr("try_cast(refers_to AS long)").alias("refers_to")
     )
+    own = written(own, "warc-index")  # read three times below, and small
     stored = own.filter("record_type = 'response'").groupBy(F.col("page_id").alias("stored_id")).agg(F.max("size").alias("stored_size"))
     plain = own.filter("record_type <> 'revisit'").select("page_id", F.col("size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
     again = own.filter("record_type = 'revisit'").join(stored, F.col("refers_to") == F.col("stored_id"), "left")

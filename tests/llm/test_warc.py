@@ -82,10 +82,12 @@ def test_round_trip(spark, tmp_path):
     want |= {(k, 5, sha("short"), "response", None) for k in (4, 6)} | {(7, 0, sha(""), "response", None), (8, 1015, sha(rows[6][2]), "response", None)}
     assert got == want
     assert archive_pages(pages.limit(0)).count() == 0
-    path = str(tmp_path / "warc")
-    write_warc(page_records(pages).coalesce(1), path, records_per_file=4)
-    back = read_warc(spark, path)
-    assert back.filter("kind = 'gap'").count() == 0 and back.select("file").distinct().count() == 3
+    for compressed in (True, False):
+        path = str(tmp_path / f"warc{compressed}")
+        write_warc(page_records(pages).coalesce(1), path, records_per_file=4, compressed=compressed)
+        back = read_warc(spark, path)
+        assert back.filter("kind = 'gap'").count() == 0 and back.select("file").distinct().count() == 3
+        assert back.count() == 9
 
 
 def test_query_runs(spark):
