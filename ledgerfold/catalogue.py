@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import evidence, kv, tables
+
+FLAGSHIP = "q_and"
+_MODULES = (kv, tables, evidence)
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
