@@ -77,7 +77,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """Rows of (id, `by`): of each value of `by` some `most` rows, or all if there are fewer. Which, the ids' hashes say."""
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
+    """Rows of (id, `by`): of each value of `by` some `most` rows, or all if there are fewer. Which, the ids' hashes
+    say. The values are a classifier's classes: the driver holds a number for each, as the model does."""
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return rows
+    share = F.create_map(*[F.lit(x) for value, n in counts.items() for x in (value, min(1.0, most / n))])
     unit = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(counts, by).filter(unit * F.col("__n") < most).drop("__n")
+    return rows.filter(unit < F.element_at(share, F.col(by)))

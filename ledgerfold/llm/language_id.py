@@ -112,7 +112,7 @@ def predict(table: np.ndarray, bias: np.ndarray, temperature: float, data: np.nd
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 800) -> LanguageModel:
     """Learns from documents with a language: some most_rows of each at most, chosen by the hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("id is not null and text is not null and lang is not null")
-    table = bounded_sample(rows, "lang", most_rows).select("id", "text", "lang").orderBy("id").toArrow()
+    table = bounded_sample(rows, "lang", most_rows).select("id", "text", "lang").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     return fit(table["text"].combine_chunks(), table["lang"].to_pylist())
 
 

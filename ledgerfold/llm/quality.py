@@ -175,7 +175,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Learns from labelled rows: some most_rows of each class at most, chosen by the hash of the id."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1) and id is not null").groupBy("id").agg(F.min("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    table = texts.join(bounded_sample(known, "label", most_rows), "id").select("id", "text", "label").orderBy("id", "text").toArrow()
+    chosen = F.broadcast(bounded_sample(known, "label", most_rows))  # some 2 * most_rows ids
+    table = texts.join(chosen, "id").select("id", "text", "label").toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
     good = table["label"].to_numpy()
     model = fit(table["text"].combine_chunks(), good)
     everywhere = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
