@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Fixed values of FNV-1a over 64 bits.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -47,7 +48,7 @@ def seeded_order(seed: int, index: Column) -> Column:
     return F.lit(seed & 1).cast("long").bitwiseXOR(index.bitwiseAND(F.lit(1).cast("long")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a64(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """FNV-1a over 64 bits of each row's bytes, as 16 hex digits, a byte of all rows at a time."""
     for data in parts:
