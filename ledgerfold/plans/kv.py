@@ -8,7 +8,9 @@ from ..functions import codec
 from ..operators import runs as R
 from ..operators import temporal as T
 from ..operators import transactions as X
+from ..sources import workload as W
 from ..sources.tables import events_log, read
+from ..streaming import tail
 
 MUT = """mut AS (SELECT event_id AS seq, user_id AS key, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS kind,
   CAST(round(value * 100) AS BIGINT) AS val, event_id // 10 AS tx FROM events)"""
@@ -60,7 +62,25 @@ def _reads(s, d):
     return events_log(s, d).filter("seq % 13 = 0").select((F.col("tx") + 3).alias("tx"), "key", F.col("tx").alias("snapshot")).distinct()
 
 
+def _steps(s, d):
+    op = F.when(F.col("event_id") % 50 == 49, "reopen").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "get").otherwise("put")
+    val = F.round(F.col("value") * 100).cast("long")
+    return read(s, d, "events").select(F.col("event_id").alias("step"), op.alias("op"), F.col("user_id").alias("key"), F.when(op == "put", val).alias("val"))
+
+
+def _trace(s, profile):
+    return W.trace(s, W.TraceConfig(0x517EED, profile, 5000, 6000, 24, 8, 70))
+
+
 QUERIES = {
+    "kv_outcomes": lambda s, d: T.outcomes(None, _steps(s, d)),
+    "trace_point_read": lambda s, d: _trace(s, "point_read"),
+    "trace_random_write": lambda s, d: _trace(s, "random_write"),
+    "trace_mixed": lambda s, d: _trace(s, "mixed"),
+    "workload_generate": lambda s, d: W.workload(s, 0x5EED, 1000, 19, 96, 11),
+    "workload_violations": lambda s, d: W.violations(W.workload(s, 0x5EED, 1000, 19, 96, 11).withColumn("op", F.when(F.col("step") % 97 == 5, "drop").otherwise(F.col("op")))),
+    "stream_windows": lambda s, d: tail.windowed_activity(read(s, d, "events")),
+    "tx_oversized": lambda s, d: X.oversized(events_log(s, d), 9),
     "kv_fold": lambda s, d: T.fold(_log(s, d)),
     "kv_prev_value": lambda s, d: T.previous_values(_log(s, d)),
     "kv_get_asof": lambda s, d: T.get_as_of(_log(s, d), _gets(s, d)),
@@ -101,6 +121,14 @@ SELECT step, rn, key, val FROM hit WHERE rn <= 5"""
 
 
 SQL = {
+    "kv_outcomes": """WITH st AS (SELECT event_id AS step, user_id AS key, CASE WHEN event_id % 50 = 49 THEN 'reopen' WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'view' THEN 'get' ELSE 'put' END AS op,
+  CAST(round(value * 100) AS BIGINT) AS v FROM events),
+p AS (SELECT a.step, a.op, max(b.step) AS at FROM st a LEFT JOIN st b ON b.key = a.key AND b.step < a.step AND b.op IN ('put', 'delete') GROUP BY a.step, a.op)
+SELECT p.step, CASE p.op WHEN 'reopen' THEN 'reopened' WHEN 'get' THEN 'value' ELSE 'previous' END AS result,
+  p.op <> 'reopen' AND coalesce(m.op = 'put', false) AS present, CASE WHEN p.op <> 'reopen' AND m.op = 'put' THEN m.v END AS val
+FROM p LEFT JOIN st m ON m.step = p.at""",
+    "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "tx_oversized": f"WITH {MUT} SELECT tx, count(*) AS n FROM mut GROUP BY tx HAVING count(*) > 9",
     "kv_fold": f"WITH {MUT}, {NEWEST}, {LIVE} SELECT key, seq, val FROM live",
     "kv_prev_value": f"WITH {MUT}, {PREV} SELECT seq, key, coalesce(pk = 'put', false) AS present, CASE WHEN pk = 'put' THEN pv END AS prev_val FROM prev",
     "kv_get_asof": f"""WITH {MUT}, {VERSIONS}, g AS (SELECT event_id AS step, (user_id * 31 + 7) % 150 AS key FROM events WHERE event_id % 7 = 0)
