@@ -41,3 +41,19 @@ def next_id(listing: DataFrame) -> DataFrame:
 def unknown_entries(names: DataFrame) -> DataFrame:
     """Names that aren't 20 digits, a dot and a kind: name."""
     return names.filter(~F.col("name").rlike(f"^[0-9]{{20}}\\.({'|'.join(KINDS)})$"))
+
+
+def manifest_violations(versions: DataFrame) -> DataFrame:
+    """Versions (version, durable, gc, fresh, merged), numbered without holes, that break a rule: version, reason.
+
+    gc never passes durable; durable grows from version to version; there is one merged run at most; without any run
+    everything durable has been collected.
+    """
+    before = versions.select((F.col("version") + 1).alias("version"), F.col("durable").alias("before"))
+    reason = (
+        F.when(F.col("gc") > F.col("durable"), "gc passes durable")
+        .when(F.col("durable") <= F.col("before"), "durable doesn't grow")
+        .when(F.col("merged") > 1, "two merged runs")
+        .when((F.col("fresh") + F.col("merged") == 0) & (F.col("gc") != F.col("durable")), "no runs")
+    )
+    return versions.join(before, "version", "left").select("version", reason.alias("reason")).filter("reason IS NOT NULL")

@@ -142,6 +142,14 @@ def verify(log: DataFrame) -> DataFrame:
     return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("record_count"), live.alias("live_keys"), (F.max("seq") + 1).alias("next_sequence"))
 
 
+def prefix_proof(log: DataFrame, next_sequence: int) -> DataFrame:
+    """What a log held before a sequence number: record_count, next_sequence, checksum (of all rows, in any order).
+    Two logs agree on that prefix if the three numbers do."""
+    row = F.crc32(F.to_json(F.struct("seq", "key", "kind", "val"), {"ignoreNullFields": "false"}).cast("binary"))
+    prefix = log.filter(F.col("seq") < next_sequence)
+    return prefix.agg(F.count(F.lit(1)).alias("record_count"), (F.max("seq") + 1).alias("next_sequence"), F.sum(row * (F.pmod("seq", F.lit(65_521)) + 1)).alias("checksum"))
+
+
 def value_bytes(val: Column) -> Column:
     return F.octet_length(val.cast("string")).cast("long")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .temporal import last_before
+
 
 def batch_previous(log: DataFrame) -> DataFrame:
     """What each mutation of a batch replaces within its batch: tx, seq, key, present, prev_val. Batches are bounded
@@ -22,10 +24,15 @@ def row_versions(log: DataFrame) -> DataFrame:
 
 def conflicts(log: DataFrame, reads: DataFrame) -> DataFrame:
     """Declared reads (tx, key, snapshot) whose key was touched after the snapshot and before the transaction: tx, key,
-    version (the last such touch). Versions and reads meet in (key, tx), deduplicated first."""
-    touched = log.select("key", F.col("tx").alias("version")).distinct()
-    both = reads.join(touched, "key").filter((F.col("version") > F.col("snapshot")) & (F.col("version") < F.col("tx")))
-    return both.groupBy("tx", "key").agg(F.max("version").alias("version"))
+    version (the last such touch).
+
+    That is the key's last touch as of the transaction, if it is later than the snapshot; reads aren't joined with
+    all touches of their keys.
+    """
+    touched = log.select("key", F.col("tx").alias("touch")).distinct().select("key", (F.col("touch") * 2 + 1).alias("at"), "touch", F.lit(None).cast("long").alias("snapshot"))
+    asked = reads.select("key", (F.col("tx") * 2).alias("at"), F.lit(None).cast("long").alias("touch"), "snapshot").distinct()
+    found = last_before(touched.unionByName(asked), "key", "at", F.col("touch"), "version")
+    return found.filter(F.col("version") > F.col("snapshot")).select(F.expr("at div 2").alias("tx"), "key", "version").distinct()
 
 
 def oversized(log: DataFrame, most: int = 1024) -> DataFrame:

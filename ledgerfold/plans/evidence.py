@@ -25,7 +25,15 @@ def _names(s, d):
     return read(s, d, "orders").select(F.concat(F.when(F.col("o_orderkey") % 17 == 0, F.lit("x")).otherwise(F.lit("")), F.lpad(F.col("o_orderkey").cast("string"), 20, "0"), F.lit(".log")).alias("name"))
 
 
+def _versions(s, d):
+    n = F.col("event_id")
+    durable = n * 200 - F.when(n % 500 == 3, 400).otherwise(0)
+    gc = durable - F.col("user_id") + F.when(n % 700 == 5, 1000).otherwise(0)
+    return read(s, d, "events").select(n.alias("version"), durable.alias("durable"), gc.alias("gc"), (n % 4).alias("fresh"), F.when(n % 332 == 0, 2).when(n % 8 == 0, 0).otherwise(1).alias("merged"))
+
+
 QUERIES = {
+    "manifest_violations": lambda s, d: G.manifest_violations(_versions(s, d)),
     "ledger_counts": lambda s, d: E.ledger_counts(ledger(s, d)),
     "ledger_order": lambda s, d: E.expected_order(ledger(s, d), SEED),
     "ledger_violations": lambda s, d: E.ledger_violations(ledger(s, d), SEED + 1),
@@ -45,6 +53,12 @@ QUERIES = {
 }
 
 SQL = {
+    "manifest_violations": """WITH v AS (SELECT event_id AS n, event_id * 200 - CASE WHEN event_id % 500 = 3 THEN 400 ELSE 0 END AS durable, user_id,
+  event_id % 4 AS fresh, CASE WHEN event_id % 332 = 0 THEN 2 WHEN event_id % 8 = 0 THEN 0 ELSE 1 END AS merged FROM events),
+w AS (SELECT n, durable, durable - user_id + CASE WHEN n % 700 = 5 THEN 1000 ELSE 0 END AS gc, fresh, merged, lag(durable) OVER (ORDER BY n) AS earlier FROM v),
+r AS (SELECT n AS version, CASE WHEN gc > durable THEN 'gc passes durable' WHEN durable <= earlier THEN 'durable doesn''t grow' WHEN merged > 1 THEN 'two merged runs'
+  WHEN fresh + merged = 0 AND gc <> durable THEN 'no runs' END AS reason FROM w)
+SELECT version, reason FROM r WHERE reason IS NOT NULL""",
     "ledger_counts": f"WITH {LEDGER} SELECT disposition, count(*) AS n FROM ledger GROUP BY 1",
     "ledger_order": f"WITH {LEDGER} SELECT pair_index, xor({SEED} & 1, pair_index & 1) AS pair_order FROM ledger",
     "ledger_violations": f"WITH {LEDGER} SELECT pair_index, 'order' AS reason FROM ledger WHERE pair_order <> xor({SEED + 1} & 1, pair_index & 1)",

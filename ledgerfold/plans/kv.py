@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..operators import contract as C
 from ..operators import runs as R
 from ..operators import temporal as T
 from ..operators import transactions as X
@@ -80,6 +81,9 @@ QUERIES = {
     "workload_generate": lambda s, d: W.workload(s, 0x5EED, 1000, 19, 96, 11),
     "workload_violations": lambda s, d: W.violations(W.workload(s, 0x5EED, 1000, 19, 96, 11).withColumn("op", F.when(F.col("step") % 97 == 5, "drop").otherwise(F.col("op")))),
     "stream_windows": lambda s, d: tail.windowed_activity(read(s, d, "events")),
+    "log_prefix_proof": lambda s, d: T.prefix_proof(_log(s, d), 777),
+    "kv_too_long": lambda s, d: C.too_long(read(s, d, "part").select(F.col("p_name").cast("binary").alias("key"), F.col("p_type").cast("binary").alias("value")), 8, 12).select(F.decode("key", "UTF-8").alias("key"), "key_bytes", "value_bytes"),
+    "capability_mismatches": lambda s, d: C.mismatches(C.capabilities(s, C.LEDGERFOLD), C.capabilities(s, C.LEDGERFOLD | {"name": "other", "ordered_range": "false", "recovery": "none"}), True),
     "tx_oversized": lambda s, d: X.oversized(events_log(s, d), 9),
     "kv_fold": lambda s, d: T.fold(_log(s, d)),
     "kv_prev_value": lambda s, d: T.previous_values(_log(s, d)),
@@ -128,6 +132,8 @@ SELECT p.step, CASE p.op WHEN 'reopen' THEN 'reopened' WHEN 'get' THEN 'value' E
   p.op <> 'reopen' AND coalesce(m.op = 'put', false) AS present, CASE WHEN p.op <> 'reopen' AND m.op = 'put' THEN m.v END AS val
 FROM p LEFT JOIN st m ON m.step = p.at""",
     "stream_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "kv_too_long": "SELECT p_name AS key, CAST(strlen(p_name) AS BIGINT) AS key_bytes, CAST(strlen(p_type) AS BIGINT) AS value_bytes FROM part WHERE strlen(p_name) > 8 OR strlen(p_type) > 12",
+    "capability_mismatches": "SELECT 'ordered_range' AS field, 'true' AS \"left\", 'false' AS \"right\"",
     "tx_oversized": f"WITH {MUT} SELECT tx, count(*) AS n FROM mut GROUP BY tx HAVING count(*) > 9",
     "kv_fold": f"WITH {MUT}, {NEWEST}, {LIVE} SELECT key, seq, val FROM live",
     "kv_prev_value": f"WITH {MUT}, {PREV} SELECT seq, key, coalesce(pk = 'put', false) AS present, CASE WHEN pk = 'put' THEN pv END AS prev_val FROM prev",

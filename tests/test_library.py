@@ -63,6 +63,14 @@ def test_run_costs_of_a_known_layout(spark):
     assert runs.range_decoded(held, 0, 100).head() == (10, 9)
 
 
+def test_prefix_proofs_tell_logs_apart(spark):
+    rows = random_log(3, 50)
+    proof = lambda rows, n=40: temporal.prefix_proof(spark.createDataFrame(rows, LOG), n).head()
+    assert proof(rows) == proof(rows[::-1]) == proof(rows[:45])
+    assert proof(rows) != proof(rows, 39)
+    assert proof(rows) != proof([(s, k, kind, v + (s == 7)) for s, k, kind, v in rows])
+
+
 def test_range_bounds():
     with pytest.raises(InvalidInput):
         temporal.check_range(5, 4, 1)
@@ -207,7 +215,7 @@ def test_every_query_matches_its_sql(spark, name):
         assert got
         return
     base = duckdb.connect()
-    for table in ("customer", "orders", "events"):
+    for table in ("customer", "orders", "events", "part"):
         base.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     result = base.execute(catalogue.SQL[name])
     names = [c[0] for c in result.description]
