@@ -16,6 +16,8 @@ DataFrame functions only; what reaches the driver is one count for each word of
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,15 +83,19 @@ def matched_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     sets = [(label, sorted(set(words.split()))) for label, words in templates]
     need = [math.ceil(round(threshold * len(words), 9)) for _, words in sets]
     known = sorted({w for _, words in sets for w in words})
-    blocks = (
-        docs.select("id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
-        .select("id", "text_key", "block", F.array_intersect(_words(F.col("line")), F.array(*map(F.lit, known))).alias("words"))
-        .filter(F.size("words") >= min(need))
-    )
-    counted = blocks.select(F.explode("words").alias("word")).groupBy("word").count()
+    lines = docs.select("id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
+
+    def blocks_of(lines: DataFrame) -> DataFrame:
+        words = F.array_intersect(_words(F.col("line")), F.array(*map(F.lit, known)))
+        return lines.select("id", "text_key", "block", words.alias("words")).filter(F.size("words") >= min(need))
+
+    counted = blocks_of(lines).select(F.explode("words").alias("word")).groupBy("word").count()
     counts = {r["word"]: r["count"] for r in counted.collect()}  # a row for each of the templates' words at most
     order = {w: i for i, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
 
+    # A line without any word of a prefix is no candidate; most are told by that before their words are taken.
+    of_prefixes = {w for k, (_, words) in enumerate(sets) for w in sorted(words, key=order.get)[: len(words) - need[k] + 1]}
+    blocks = blocks_of(lines.filter(reduce(or_, [F.col("line").contains(w) for w in sorted(of_prefixes)])))
     ranks = F.create_map(*[F.lit(x) for w in known for x in (w, order[w])])
     ranked = blocks.select("id", "text_key", "block", F.array_sort(F.transform("words", lambda w: F.element_at(ranks, w))).alias("set"))
     of_templates = [sorted(order[w] for w in words) for _, words in sets]

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: The white space that a key loses at both ends.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,6 +57,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .filter(F.col("__docs") >= min_docs)
         .select("__hash", "__keeper")
     )
+    common = written(common, "common-lines")  # so that the join below has a shuffle on both sides, which Spark may split
     dropped = (
         keyed.join(common, "__hash")
         .filter(~F.col("__id").eqNullSafe(F.col("__keeper")))
