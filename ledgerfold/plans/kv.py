@@ -76,6 +76,8 @@ def _trace(s, profile):
 QUERIES = {
     "kv_outcomes": lambda s, d: T.outcomes(None, _steps(s, d)),
     "trace_point_read": lambda s, d: _trace(s, "point_read"),
+    "trace_range_scan": lambda s, d: _trace(s, "range_scan"),
+    "trace_sequential_write": lambda s, d: _trace(s, "sequential_write"),
     "trace_random_write": lambda s, d: _trace(s, "random_write"),
     "trace_mixed": lambda s, d: _trace(s, "mixed"),
     "workload_generate": lambda s, d: W.workload(s, 0x5EED, 1000, 19, 96, 11),
