@@ -19,15 +19,18 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..errors import Corruption
 from .common import scratch_path, ship, written
 
 VERSION = b"WARC/1.1"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 _STEP = 1 << 16
+#: A byte of deflate holds fewer bytes than this (1032 at most).
+_RATIO = 1040
 NOTHING = gzip.compress(b"", mtime=0)
 END = "\r\n\r\n"
 RECORD_ID = "urn:page:"
@@ -83,32 +86,50 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
 
 
-def write_warc(records: DataFrame, path: str, *, records_per_file: int = 2000, compressed: bool = True) -> None:
-    """Writes the rows of `record` as WARC files below path: compressed, one gzip member a record, or plain. Bounded
-    files keep a reader's memory bounded."""
+def write_warc(records: DataFrame, path: str, *, records_per_file: int = 2000, bytes_per_file: int = 1 << 28, compressed: bool = True) -> int:
+    """Writes the rows of `record` as WARC files below path: compressed, one gzip member a record, or plain. Returns
+    how many there were. Bounded files keep a reader's memory bounded: a file has no more than bytes_per_file bytes
+    before compression, or one record.
+
+    The sink counts records, not bytes, so those larger than an equal share of a file are written after the others,
+    by classes of size (powers of 4) with fewer to a file. Only tables that hold such records are read again.
+    """
     if compressed:
         ship(records.sparkSession)
-        # The sink writes a string's bytes as they are; between two it puts a member that holds nothing.
-        rows = records.select("record").mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
-        sink = rows.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1"))
-    else:
-        sink = records.select(F.col("record").alias("value")).write.option("lineSep", END)
-    sink.option("maxRecordsPerFile", records_per_file).text(path)
+    share, seen = max(1, bytes_per_file // records_per_file - len(END)), Observation()
+    size = F.octet_length("record")
+
+    def put(rows: DataFrame, most: int, mode: str) -> None:
+        if compressed:
+            # The sink writes a string's bytes as they are; between two it puts a member that holds nothing.
+            rows = rows.select("record").mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
+            sink = rows.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1"))
+        else:
+            sink = rows.select(F.col("record").alias("value")).write.option("lineSep", END)
+        sink.mode(mode).option("maxRecordsPerFile", most).text(path)
+
+    put(records.observe(seen, F.count(F.lit(1)).alias("n"), F.max(size).alias("most")).filter(size <= share), records_per_file, "errorifexists")
+    found = seen.get
+    above = share
+    while above < (found.get("most") or 0):
+        put(records.filter((size > above) & (size <= above * 4)), max(1, bytes_per_file // (above * 4 + len(END))), "append")
+        above *= 4
+    return found.get("n") or 0
 
 
 def _header(raw: bytes, start: int) -> tuple[dict[bytes, bytes], int] | None:
     """The record's named fields and where its block begins, or None."""
     version = _VERSION_LINE.match(raw, start)
-    stop = raw.find(b"\r\n\r\n", start, start + (1 << 16))
-    if not version or stop < 0:
+    if not version:
         return None
-    fields = {}
-    for line in raw[version.end() : stop].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    fields, at = {}, version.end()
+    while (stop := raw.find(b"\r\n", at)) > at:
+        name, colon, value = raw[at:stop].partition(b":")
         if not colon:
             return None
         fields[name.strip().lower()] = value.strip()
-    return fields, stop + 4
+        at = stop + 2
+    return (fields, at + 2) if stop == at else None
 
 
 def _bare(value: bytes | None) -> str | None:
@@ -145,9 +166,11 @@ def parse_record(raw: bytes, start: int) -> tuple[dict, int] | str:
     return record, stop + 4
 
 
-def _member(raw: bytes, start: int, most: int) -> tuple[bytes, int] | str:
+def _member(raw: bytes, start: int, most: int | None) -> tuple[bytes, int] | str:
     """What the gzip member at start holds and where it ends, or which check it fails."""
     inflate, held, at = zlib.decompressobj(31), [], start
+    if most is None:
+        most = (len(raw) - start) * _RATIO
     try:
         while not inflate.eof and at < len(raw) and most > 0:
             part = raw[at : at + _STEP]
@@ -161,9 +184,10 @@ def _member(raw: bytes, start: int, most: int) -> tuple[bytes, int] | str:
     return b"".join(held), at
 
 
-def salvage(raw: bytes, *, most: int = 1 << 28) -> Iterator[dict]:
+def salvage(raw: bytes, *, most: int | None = None) -> Iterator[dict]:
     """All that a file holds, in order: records (kind "record") and gaps (kind "gap"), each with start, stop, and
-    for gaps why. Starts and stops are places in the file, so they cover it without overlap."""
+    for gaps why. Starts and stops are places in the file, so they cover it without overlap. A member that holds
+    more than `most` bytes is a gap; without `most`, none is too long."""
     at, gap, why = 0, None, ""
     while at < len(raw):
         found: list[dict] = []
@@ -241,8 +265,14 @@ def resolved(records: DataFrame) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, *, min_bytes: int = 1000, path: str | None = None) -> DataFrame:
-    """Writes an archive of the pages into the shared folder (or path), and what its reader finds: see resolved."""
+    """Writes an archive of the pages into the shared folder (or path), and what its reader finds: see resolved.
+    Raises Corruption unless the reader finds as many records as were written, and no gap."""
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
-    write_warc(page_records(pages, min_bytes=min_bytes), path)
-    return resolved(read_warc(spark, path))
+    wanted, seen = write_warc(page_records(pages, min_bytes=min_bytes), path), Observation()
+    out = resolved(read_warc(spark, path).observe(seen, F.count_if(F.col("kind") == "record").alias("records"), F.count_if(F.col("kind") == "gap").alias("gaps")))
+    found = seen.get
+    records, gaps = found.get("records") or 0, found.get("gaps") or 0
+    if gaps or records != wanted:
+        raise Corruption(f"{wanted} records were written below {path}; its reader found {records} and {gaps} gaps")
+    return out

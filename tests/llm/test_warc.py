@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from ledgerfold.errors import Corruption
+from ledgerfold.llm import warc
 from ledgerfold.llm.queries_warc import op5_warc
 from ledgerfold.llm.warc import archive_pages, page_records, read_warc, salvage, write_warc
 
@@ -92,3 +94,46 @@ def test_round_trip(spark, tmp_path):
 
 def test_query_runs(spark):
     assert op5_warc(spark, "/root/testdata/sf0.001").count() == 50
+
+
+def test_long_headers_and_members_are_read():
+    long = record(0, b"p").replace(b"WARC-Type", b"WARC-Target-URI: data:" + b"x" * 200_000 + b"\r\nWARC-Type")
+    large = record(1, bytes((1 << 28) + 1))
+    for raw in (long, gzip.compress(long), gzip.compress(large, 1)):
+        assert [r["kind"] for r in salvage(raw)] == ["record"]
+    assert [r.get("why") for r in salvage(gzip.compress(long), most=1000)] == ["gzip: longer than allowed"]
+
+
+def test_pages_of_long_urls_stay(spark):
+    url, html = "data:" + "x" * 70_000, "<p>" * 1000
+    rows = [(1, "u", html), (2, "u", html), (3, url, html), (4, url, "short")]
+    got = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(1, 3000, "revisit", 3), (2, 3000, "revisit", 3), (3, 3000, "response", None), (4, 5, "response", None)}
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_files_are_bounded_by_bytes(spark, tmp_path, compressed):
+    sizes = [10] * 40 + [6_000] * 12 + [30_000] * 5 + [200_000]
+    rng = random.Random(1)
+    pages = spark.createDataFrame([(k, "u", rng.randbytes(n // 2).hex()) for k, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    path = str(tmp_path / "bounded")
+    assert write_warc(page_records(pages).coalesce(1), path, records_per_file=20, bytes_per_file=60_000, compressed=compressed) == len(sizes)
+    back = read_warc(spark, path)
+    assert back.filter("kind = 'gap'").count() == 0
+    held = back.groupBy("file").agg({"*": "count", "stop": "max"}).collect()
+    assert sum(r["count(1)"] for r in held) == len(sizes) and max(r["count(1)"] for r in held) <= 20
+    assert all(r["max(stop)"] <= 60_000 or r["count(1)"] == 1 for r in held)
+
+
+@pytest.mark.parametrize("damage", ["noise", "lost file"])
+def test_a_damaged_archive_is_an_error(spark, tmp_path, monkeypatch, damage):
+    def damaged(records, path, write=write_warc):
+        n = write(records.coalesce(2), path, records_per_file=1)
+        first = sorted((tmp_path / "a").glob("part-*"))[0]
+        first.with_suffix(".noise").write_bytes(b"noise") if damage == "noise" else first.unlink()
+        return n
+
+    monkeypatch.setattr(warc, "write_warc", damaged)
+    pages = spark.createDataFrame([(k, "u", str(k)) for k in range(4)], "page_id long, url string, html string")
+    with pytest.raises(Corruption):
+        archive_pages(pages, path=str(tmp_path / "a"))
