@@ -10,6 +10,10 @@ put in one global order, rarest first (ties by the word), and a pair becomes a c
 
 where need = ceil(threshold * size). Candidates are verified on their whole sets. Words that no template has
 can't match, so blocks keep only the others; their frequencies are counted over all blocks of the corpus.
+
+Lines miss a notice that is wrapped over several of them. With `wrapped`, the windows of as many words in a row as
+the template has are blocks too, wherever lines end. A template that covers a window covers the whole text, so
+the same join of templates with whole texts gives the texts whose windows are looked at.
 DataFrame functions only; what reaches the driver is one count for each word of the templates.
 """
 
@@ -76,57 +80,93 @@ def _key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("text_key"), _lowered(text).alias("text"))
 
 
+class _Join:
+    """Templates as word sets, with the global order of their words by their frequencies in the lines of docs."""
+
+    def __init__(self, docs: DataFrame, templates: list[tuple[str, str]], threshold: float):
+        self.sets = [(label, sorted(set(words.split()))) for label, words in templates]
+        self.lengths = [len(words.split()) for _, words in templates]
+        self.need = [math.ceil(round(threshold * len(words), 9)) for _, words in self.sets]
+        self.known = sorted({w for _, words in self.sets for w in words})
+        counted = self.blocks_of(_lines(docs)).select(F.explode("words").alias("word")).groupBy("word").count()
+        counts = {r["word"]: r["count"] for r in counted.collect()}  # a row for each of the templates' words at most
+        self.order = {w: i for i, w in enumerate(sorted(self.known, key=lambda w: (counts.get(w, 0), w)))}
+
+    def blocks_of(self, lines: DataFrame) -> DataFrame:
+        words = F.array_intersect(_words(F.col("line")), F.array(*map(F.lit, self.known)))
+        return lines.select("id", "text_key", "block", "line", words.alias("words")).filter(F.size("words") >= min(self.need))
+
+    def verified(self, lines: DataFrame) -> DataFrame:
+        """Of lines (id, text_key, block, line), those that a template covers, once for each such template."""
+        sets, need, known, order = self.sets, self.need, self.known, self.order
+        # A line without any word of a prefix is no candidate; most are told by that before their words are taken.
+        of_prefixes = {w for k, (_, words) in enumerate(sets) for w in sorted(words, key=order.get)[: len(words) - need[k] + 1]}
+        blocks = self.blocks_of(lines.filter(reduce(or_, [F.col("line").contains(w) for w in sorted(of_prefixes)])))
+        ranks = F.create_map(*[F.lit(x) for w in known for x in (w, order[w])])
+        ranked = blocks.select("id", "text_key", "block", "line", F.array_sort(F.transform("words", lambda w: F.element_at(ranks, w))).alias("set"))
+        of_templates = [sorted(order[w] for w in words) for _, words in sets]
+        prefixes = [(r, k, i, len(s), need[k], self.lengths[k], sets[k][0], s, sets[k][1]) for k, s in enumerate(of_templates) for i, r in enumerate(s[: len(s) - need[k] + 1])]
+        # Its size is fixed by the templates, so this side can be broadcast.
+        prefix = F.broadcast(lines.sparkSession.createDataFrame(prefixes, "rank int, template int, i int, size int, need int, length int, label string, whole array<int>, of_template array<string>"))
+        rare = F.array(*[F.lit(r) for r in sorted({p[0] for p in prefixes})])
+        heads = ranked.withColumn("n", F.size("set")).withColumn(
+            "head", F.filter(F.transform("set", lambda r, j: F.struct(r.alias("rank"), j.alias("j"))), lambda x: F.array_contains(rare, x["rank"]))
+        )
+        near = heads.select("id", "text_key", "block", "line", "set", "n", F.inline("head")).join(prefix, "rank")
+        near = near.filter((F.col("n") >= F.col("need")) & (F.col("j") <= F.col("n") - F.col("need")))
+        near = near.filter(F.least(F.col("size") - F.col("i"), F.col("n") - F.col("j")) >= F.col("need"))
+        common = F.array_intersect("set", "whole")
+        # Their first common word is in both prefixes, so it tells each pair once.
+        return near.filter((F.size(common) >= F.col("need")) & (F.array_min(common) == F.col("rank"))).withColumn("common", F.size(common))
+
+    def blocks(self, docs: DataFrame) -> DataFrame:
+        verified = self.verified(_lines(docs))
+        return verified.select("id", "text_key", "block", "template", "label", (F.col("common") / F.col("size")).alias("containment"))
+
+    def windows(self, docs: DataFrame) -> DataFrame:
+        """id, text_key, template, label, containment for every text and template that covers one of its windows: the
+        most that any has."""
+        texts = self.verified(docs.select("id", "text_key", F.lit(0).alias("block"), F.col("text").alias("line")))
+        placed = F.transform(_words(F.col("line")), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+        # Windows that begin with a word of the template are enough, and none has more of them than it has words.
+        texts = texts.withColumn("places", F.filter(placed, lambda x: F.array_contains("of_template", x["w"])))
+        from_each = F.transform(
+            "places",
+            lambda x, j: F.size(F.array_distinct(F.transform(F.filter(F.slice("places", j + 1, F.col("length")), lambda y: y["i"] < x["i"] + F.col("length")), lambda y: y["w"]))),
+        )
+        found = texts.withColumn("common", F.array_max(from_each)).filter(F.col("common") >= F.col("need"))
+        return found.select("id", "text_key", "template", "label", (F.col("common") / F.col("size")).alias("containment"))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    return docs.select("id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
+
+
 def matched_blocks(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
     """Of docs (id, text_key, text in lower case): id, text_key, block, label, containment for every block (line,
     from 0) that a template covers, once for each such template."""
-    spark = docs.sparkSession
-    sets = [(label, sorted(set(words.split()))) for label, words in templates]
-    need = [math.ceil(round(threshold * len(words), 9)) for _, words in sets]
-    known = sorted({w for _, words in sets for w in words})
-    lines = docs.select("id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
-
-    def blocks_of(lines: DataFrame) -> DataFrame:
-        words = F.array_intersect(_words(F.col("line")), F.array(*map(F.lit, known)))
-        return lines.select("id", "text_key", "block", words.alias("words")).filter(F.size("words") >= min(need))
-
-    counted = blocks_of(lines).select(F.explode("words").alias("word")).groupBy("word").count()
-    counts = {r["word"]: r["count"] for r in counted.collect()}  # a row for each of the templates' words at most
-    order = {w: i for i, w in enumerate(sorted(known, key=lambda w: (counts.get(w, 0), w)))}
-
-    # A line without any word of a prefix is no candidate; most are told by that before their words are taken.
-    of_prefixes = {w for k, (_, words) in enumerate(sets) for w in sorted(words, key=order.get)[: len(words) - need[k] + 1]}
-    blocks = blocks_of(lines.filter(reduce(or_, [F.col("line").contains(w) for w in sorted(of_prefixes)])))
-    ranks = F.create_map(*[F.lit(x) for w in known for x in (w, order[w])])
-    ranked = blocks.select("id", "text_key", "block", F.array_sort(F.transform("words", lambda w: F.element_at(ranks, w))).alias("set"))
-    of_templates = [sorted(order[w] for w in words) for _, words in sets]
-    prefixes = [(r, k, i, len(s), need[k], sets[k][0], s) for k, s in enumerate(of_templates) for i, r in enumerate(s[: len(s) - need[k] + 1])]
-    # Its size is fixed by the templates, so this side can be broadcast.
-    prefix = F.broadcast(spark.createDataFrame(prefixes, "rank int, template int, i int, size int, need int, label string, whole array<int>"))
-    rare = F.array(*[F.lit(r) for r in sorted({p[0] for p in prefixes})])
-    heads = ranked.withColumn("n", F.size("set")).withColumn(
-        "head", F.filter(F.transform("set", lambda r, j: F.struct(r.alias("rank"), j.alias("j"))), lambda x: F.array_contains(rare, x["rank"]))
-    )
-    near = heads.select("id", "text_key", "block", "set", "n", F.inline("head")).join(prefix, "rank")
-    near = near.filter((F.col("n") >= F.col("need")) & (F.col("j") <= F.col("n") - F.col("need")))
-    near = near.filter(F.least(F.col("size") - F.col("i"), F.col("n") - F.col("j")) >= F.col("need"))
-    common = F.size(F.array_intersect("set", "whole"))
-    verified = near.filter(common >= F.col("need"))
-    return verified.groupBy("id", "text_key", "block", "template").agg(F.first("label").alias("label"), F.max(common / F.col("size")).alias("containment"))
+    found = _Join(docs, templates, threshold).blocks(docs)
+    return found.groupBy("id", "text_key", "block", "template").agg(F.first("label").alias("label"), F.max("containment").alias("containment"))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.9) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.9, wrapped: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places of the base phrases, first_word and last_word are the smallest and the largest word
-    index that one begins at. labels adds the labels of the templates that cover a block. score is 1 if a base
-    phrase was found, else the largest containment of a covering template, else 0.
+    index that one begins at. labels adds the labels of the templates that cover a block: a line or, with wrapped, a
+    window of words as well. score is 1 if a base phrase was found, else the largest containment of a covering
+    template, else 0.
 
     * A null text counts as the empty text: no words, no labels (the empty string), score 0.
     * Rows that repeat an id, or have none, are each judged by their own text.
     * Other columns are not read; an empty table gives no rows.
     """
     texts = _key(docs, id_col, text_col)
-    by_text = matched_blocks(texts, templates, threshold).groupBy("id", "text_key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
+    join, kept = _Join(texts, templates, threshold), ["id", "text_key", "label", "containment"]
+    matched = join.blocks(texts).select(kept)
+    if wrapped:
+        matched = matched.unionByName(join.windows(texts).select(kept))
+    by_text = matched.groupBy("id", "text_key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
     by_text = by_text.select(F.coalesce("id", F.lit(0)).alias("id_key"), F.col("id").isNull().alias("no_id"), "text_key", "found", "most")
 
     words = texts.select("id", "text_key", "text", _words(F.col("text")).alias("words"))

@@ -14,6 +14,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With notices that are wrapped over several lines, which op7_license_scan and its SQL leave out."""
+    return license_scan(table(spark, sf_dir, "documents"), wrapped=True)
+
+
 def _list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -40,5 +45,5 @@ FROM w LEFT JOIN base ON w.doc_id = base.doc_id LEFT JOIN method ON w.doc_id = m
 """
 
 
-QUERIES = {"op7_license_scan": op7_license_scan}
+QUERIES = {"op7_license_scan": op7_license_scan, "op7_license_scan_wrapped": op7_license_scan_wrapped}
 SQL = {"op7_license_scan": _sql()}

@@ -1,6 +1,7 @@
 """Exact and line de-duplication and the license scan on hand-made rows, and against their SQL."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerfold.llm.exact_dedup import exact_dedup
-from ledgerfold.llm.license_scan import license_scan, matched_blocks
+from ledgerfold.llm.license_scan import TEMPLATES, license_scan, matched_blocks
 from ledgerfold.llm.line_dedup import line_dedup
 from ledgerfold.llm.queries import QUERIES, SQL
 
@@ -111,3 +112,35 @@ def test_set_join_is_that_of_all_pairs(spark, threshold):
             if common >= math.ceil(round(threshold * len(of_template), 9)):
                 want[n, label, round(common / len(of_template), 6)] += 1
     assert got == want
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+BSD = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted"
+GPL = "This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License\n * version 3"
+
+
+def test_wrapped_notices_are_found(spark):
+    rng = random.Random(4)
+    pool = sorted({w for _, t in TEMPLATES for w in t.split()}) + ["other"] * 30
+    texts = [MIT, BSD, GPL, "All rights\nreserved", "all\n" + "x " * 9 + "rights\nreserved", None, "the " * 3000 + MIT + " of" * 3000]
+    for _ in range(80):
+        words = (rng.choices(pool, k=15) + rng.choice(TEMPLATES)[1].split() + rng.choices(pool, k=15))
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(15, len(words) - 15)] = rng.choice(pool)
+        texts.append("".join(w + rng.choice(" \n") for w in words))
+
+    def labels(text):
+        found = {"mit"} if "under the mit license" in (flat := " ".join(re.findall("[a-z0-9]+", (text or "").lower()))) else set()
+        found |= {label for phrase, label in (("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")) if phrase in flat}
+        blocks = [[re.findall("[a-z0-9]+", line) for line in (text or "").lower().split("\n")], flat.split()]
+        for label, template in TEMPLATES:
+            whole, n = set(template.split()), len(template.split())
+            windows = blocks[0] + [blocks[1][k : k + n] for k in range(len(blocks[1]))]
+            if any(len(whole & set(w)) >= 0.9 * len(whole) - 1e-9 for w in windows):
+                found.add(label)
+        return ",".join(sorted(found))
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.labels for r in license_scan(docs, wrapped=True).collect()}
+    assert [got[k] for k in range(7)] == ["mit", "bsd", "gpl-3", "all-rights-reserved", "", "", "mit"]
+    assert got == dict(enumerate(map(labels, texts)))
