@@ -89,17 +89,21 @@ def versions(log: DataFrame) -> DataFrame:
     return found.select("key", "kind", "val", F.col("seq").alias("valid_from"), "valid_to")
 
 
-def range_as_of(log: DataFrame, ranges: DataFrame, width: int) -> DataFrame:
+def range_as_of(log: DataFrame, ranges: DataFrame, width: int, slice_rows: int = SLICE) -> DataFrame:
     """Range reads (step, start, end, limit) as of their steps, before a mutation of the same step: step, rn, key, val.
 
-    Keys are longs, not negative. Ranges and versions meet by equality on key buckets of `width`, so no cross join is planned;
-    the best `limit` rows of a step are kept by a window over that step's rows alone.
+    Keys are longs, not negative. Ranges and distinct keys meet by equality on key buckets of `width`, so no cross join is
+    planned and a hot key counts once a step; each key is then read as of the step as get_as_of does. The best `limit`
+    rows of a step are kept by a window over that step's rows alone.
     """
     first, last = F.expr(f"start div {width}"), F.expr(f"(`end` - 1) div {width}")
     asked = ranges.filter("start < end AND limit > 0").withColumn("bucket", F.explode(F.sequence(first, last)))
-    held = versions(log).filter("kind = 'put'").withColumn("bucket", F.expr(f"key div {width}"))
-    seen = (F.col("valid_from") < F.col("step")) & (F.col("valid_to").isNull() | (F.col("valid_to") >= F.col("step")))
-    found = asked.join(held, "bucket").filter((F.col("key") >= F.col("start")) & (F.col("key") < F.col("end")) & seen)
+    keys = log.select("key", F.expr(f"key div {width}").alias("bucket")).distinct()
+    pairs = asked.join(keys, "bucket").filter((F.col("key") >= F.col("start")) & (F.col("key") < F.col("end")))
+    reads = pairs.select((F.col("step") * 2).alias("at"), "key", F.lit(None).cast("string").alias("kind"), F.lit(None).cast(log.schema["val"].dataType).alias("val"), "limit")
+    both = log.select((F.col("seq") * 2 + 1).alias("at"), "key", "kind", "val", F.lit(None).cast(ranges.schema["limit"].dataType).alias("limit")).unionByName(reads)
+    seen = last_before(both, "key", "at", F.when(F.col("kind").isNotNull(), F.struct("kind", "val")), "__last", slice_rows)
+    found = seen.filter((F.col("kind").isNull()) & (F.col("__last")["kind"] == "put")).select(F.expr("at div 2").alias("step"), "key", F.col("__last")["val"].alias("val"), "limit")
     rn = F.row_number().over(Window.partitionBy("step").orderBy("key")).cast("long")
     return found.withColumn("rn", rn).filter(F.col("rn") <= F.col("limit")).select("step", "rn", "key", "val")
 

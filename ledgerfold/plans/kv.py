@@ -63,6 +63,10 @@ def _reads(s, d):
     return events_log(s, d).filter("seq % 13 = 0").select((F.col("tx") + 3).alias("tx"), "key", F.col("tx").alias("snapshot")).distinct()
 
 
+def _all_reads(s, d):
+    return events_log(s, d).select((F.col("tx") + 3).alias("tx"), "key", F.col("tx").alias("snapshot")).distinct()
+
+
 def _steps(s, d):
     op = F.when(F.col("event_id") % 50 == 49, "reopen").when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "view", "get").otherwise("put")
     val = F.round(F.col("value") * 100).cast("long")
@@ -115,6 +119,8 @@ QUERIES = {
         codec.hex_lower(codec.little_endian(F.col("c_custkey"))).alias("le_hex"), codec.canonical_id(F.col("c_custkey")).alias("canonical"), F.decode(codec.unhex_strict(codec.hex_lower(F.col("c_name").cast("binary"))), "UTF-8").alias("name")),
     "scalar_crc32": lambda s, d: read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.crc32(F.col("c_name").cast("binary")).alias("crc"), codec.fnv1a64(F.col("c_name").cast("binary")).alias("fnv1a64")),
     "bench_flagship": lambda s, d: T.range_as_of(_log(s, d), _ranges(s, d, 101), 10),
+    "kv_range_asof_all": lambda s, d: T.range_as_of(_log(s, d), _ranges(s, d, 1), 10),
+    "occ_conflicts_all": lambda s, d: X.conflicts(events_log(s, d), _all_reads(s, d)),
 }
 
 
@@ -174,4 +180,10 @@ SELECT min(a.seq) AS step FROM a JOIN b ON a.seq = b.seq WHERE coalesce(a.k, 'de
 substr(printf('%08x', c_custkey), 7, 2) || substr(printf('%08x', c_custkey), 5, 2) || substr(printf('%08x', c_custkey), 3, 2) || substr(printf('%08x', c_custkey), 1, 2) AS le_hex,
 lpad(CAST(c_custkey AS VARCHAR), 20, '0') AS canonical, c_name AS name FROM customer""",
     "bench_flagship": _asof_sql(101),
+    "kv_range_asof_all": f"""WITH {MUT}, r AS (SELECT event_id AS step, unnest(range(user_id, user_id + 10)) AS key FROM events),
+hit AS (SELECT r.step, r.key, m.val, m.kind FROM r ASOF JOIN mut m ON m.key = r.key AND r.step > m.seq),
+n AS (SELECT step, row_number() OVER (PARTITION BY step ORDER BY key) AS rn, key, val FROM hit WHERE kind = 'put')
+SELECT step, rn, key, val FROM n WHERE rn <= 5""",
+    "occ_conflicts_all": f"""WITH {MUT}, r AS (SELECT DISTINCT tx + 3 AS tx, key, tx AS snapshot FROM mut)
+SELECT r.tx, r.key, max(m.tx) AS version FROM r JOIN mut m ON m.key = r.key AND m.tx > r.snapshot AND m.tx < r.tx GROUP BY r.tx, r.key""",
 }
