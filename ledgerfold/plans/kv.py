@@ -59,6 +59,20 @@ def _probes(s):
     return s.range(200).select(F.col("id").alias("key"))
 
 
+def _all_gets(s, d):
+    """Reads at every step, over all keys from 0 to the largest."""
+    events = read(s, d, "events")
+    keys = events.agg(F.max("user_id") + 1).scalar()
+    return events.select(F.col("event_id").alias("step"), ((F.col("user_id") * 31 + 7) % keys).alias("key"))
+
+
+def _all_probes(s, d):
+    """Every key of the log, and as many that are larger than all of them."""
+    keys = read(s, d, "events").select(F.col("user_id").alias("key")).distinct()
+    beyond = keys.agg(F.max("key") - F.min("key") + 1).scalar()
+    return keys.unionByName(keys.select((F.col("key") + beyond).alias("key")))
+
+
 def _reads(s, d):
     return events_log(s, d).filter("seq % 13 = 0").select((F.col("tx") + 3).alias("tx"), "key", F.col("tx").alias("snapshot")).distinct()
 
@@ -120,6 +134,8 @@ QUERIES = {
     "scalar_crc32": lambda s, d: read(s, d, "customer").select(F.col("c_custkey").alias("id"), F.crc32(F.col("c_name").cast("binary")).alias("crc"), codec.fnv1a64(F.col("c_name").cast("binary")).alias("fnv1a64")),
     "bench_flagship": lambda s, d: T.range_as_of(_log(s, d), _ranges(s, d, 101), 10),
     "kv_range_asof_all": lambda s, d: T.range_as_of(_log(s, d), _ranges(s, d, 1), 10),
+    "kv_get_asof_all": lambda s, d: T.get_as_of(_log(s, d), _all_gets(s, d)),
+    "run_point_consults_all": lambda s, d: R.point_consults(_runs(s, d), _all_probes(s, d)),
     "occ_conflicts_all": lambda s, d: X.conflicts(events_log(s, d), _all_reads(s, d)),
 }
 
@@ -184,6 +200,12 @@ lpad(CAST(c_custkey AS VARCHAR), 20, '0') AS canonical, c_name AS name FROM cust
 hit AS (SELECT r.step, r.key, m.val, m.kind FROM r ASOF JOIN mut m ON m.key = r.key AND r.step > m.seq),
 n AS (SELECT step, row_number() OVER (PARTITION BY step ORDER BY key) AS rn, key, val FROM hit WHERE kind = 'put')
 SELECT step, rn, key, val FROM n WHERE rn <= 5""",
+    "kv_get_asof_all": f"""WITH {MUT}, {VERSIONS}, g AS (SELECT event_id AS step, (user_id * 31 + 7) % (SELECT max(user_id) + 1 FROM events) AS key FROM events)
+SELECT g.step, g.key, coalesce(v.kind = 'put', false) AS present, CASE WHEN v.kind = 'put' THEN v.val END AS val
+FROM g LEFT JOIN versions v ON v.key = g.key AND v.valid_from < g.step AND (v.valid_to IS NULL OR v.valid_to >= g.step)""",
+    "run_point_consults_all": f"""WITH {MUT}, {RUNS}, ids AS (SELECT DISTINCT run_id FROM runs), h AS (SELECT key, max(run_id) AS top FROM runs GROUP BY key),
+k AS (SELECT DISTINCT key FROM mut UNION ALL SELECT DISTINCT key + (SELECT max(key) - min(key) + 1 FROM mut) FROM mut)
+SELECT k.key, (SELECT count(*) FROM ids WHERE h.top IS NULL OR ids.run_id >= h.top) AS consults FROM k LEFT JOIN h ON h.key = k.key""",
     "occ_conflicts_all": f"""WITH {MUT}, r AS (SELECT DISTINCT tx + 3 AS tx, key, tx AS snapshot FROM mut)
 SELECT r.tx, r.key, max(m.tx) AS version FROM r JOIN mut m ON m.key = r.key AND m.tx > r.snapshot AND m.tx < r.tx GROUP BY r.tx, r.key""",
 }

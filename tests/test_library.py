@@ -82,6 +82,21 @@ def test_whole_queries_leave_no_step_out(spark):
     assert some < whole
 
 
+def test_probes_and_reads_grow_with_the_table(spark, tmp_path):
+    rows = [(k, k * 7 % 400, "error" if k % 5 == 0 else "view", float(k)) for k in range(1200)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    probed = {r.key: r.consults for r in catalogue.QUERIES["run_point_consults_all"](spark, str(tmp_path)).collect()}
+    newest = {user: k // 500 for k, user, _, _ in rows}
+    assert probed == {k: 3 - newest[k] if k < 400 else 3 for k in range(800)}
+    got = {(r.step, r.key): (r.present, r.val) for r in catalogue.QUERIES["kv_get_asof_all"](spark, str(tmp_path)).collect()}
+    state, want = {}, {}
+    for step, user, kind, value in rows:
+        key = (user * 31 + 7) % 400
+        want[step, key] = (key in state, state.get(key))
+        state.pop(user, None) if kind == "error" else state.__setitem__(user, int(value * 100))
+    assert got == want and {key for _, key in got} == set(range(400))
+
+
 def test_run_costs_of_a_known_layout(spark):
     base = [(0, k, k, "put", 1) for k in range(8)]
     over = [(1, 0, 8, "put", 2), (1, 8, 9, "put", 3)]
