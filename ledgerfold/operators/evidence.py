@@ -19,13 +19,28 @@ def expected_order(ledger: DataFrame, seed: int) -> DataFrame:
     return ledger.select("pair_index", seeded_order(seed, F.col("pair_index")).alias("pair_order"))
 
 
-def ledger_violations(ledger: DataFrame, seed: int) -> DataFrame:
-    """Rows (pair_index, pair_order, disposition, ...) with another order than the seed's or no known disposition, and
-    pair indexes that are used twice: pair_index, reason."""
-    wrong = F.when(~F.coalesce(F.col("disposition").isin(*DISPOSITIONS), F.lit(False)), "disposition").when(~F.col("pair_order").eqNullSafe(seeded_order(seed, F.col("pair_index"))), "order")
+def ledger_violations(ledger: DataFrame, seed: int, requested: int | None = None) -> DataFrame:
+    """What is wrong with a ledger (pair_index, pair_order, disposition, first, second): pair_index, reason.
+
+    Rows with another order than the seed's, no known disposition, or included without both durations; pair indexes
+    that are used twice, or whose predecessor is missing (indexes begin at 0). With requested, how many pairs there
+    should be, a row without a pair_index if there are more or fewer.
+    """
+    lacks = (F.col("disposition") == "included") & (F.col("first").isNull() | F.col("second").isNull())
+    wrong = (
+        F.when(~F.coalesce(F.col("disposition").isin(*DISPOSITIONS), F.lit(False)), "disposition")
+        .when(~F.col("pair_order").eqNullSafe(seeded_order(seed, F.col("pair_index"))), "order")
+    )
     bad = ledger.select("pair_index", wrong.alias("reason")).filter("reason IS NOT NULL")
+    bad = bad.unionByName(ledger.filter(lacks).select("pair_index", F.lit("fields").alias("reason")))
     twice = ledger.groupBy("pair_index").count().filter("count > 1").select("pair_index", F.lit("used twice").alias("reason"))
-    return bad.unionByName(twice)
+    follows = ledger.select((F.col("pair_index") + 1).alias("pair_index"))
+    holes = ledger.filter("pair_index <> 0").select("pair_index").distinct().join(follows, "pair_index", "left_anti").select("pair_index", F.lit("hole before").alias("reason"))
+    found = bad.unionByName(twice).unionByName(holes)
+    if requested is None:
+        return found
+    count = ledger.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") != requested)
+    return found.unionByName(count.select(F.lit(None).cast("long").alias("pair_index"), F.lit("count").alias("reason")))
 
 
 def sidecar_join(ledger: DataFrame, sidecars: DataFrame) -> DataFrame:

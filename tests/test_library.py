@@ -188,6 +188,16 @@ def test_evidence(spark):
     assert sorted(map(tuple, evidence.projection_mismatches(timings).collect())) == [(1, 1), (2, 1)]
 
 
+def test_ledgers_with_holes_or_without_fields(spark):
+    order = lambda k: 1 ^ (k & 1)
+    fine = [(k, order(k), "included", 1, 2) for k in range(6)]
+    wrong = lambda rows, n=None: sorted(map(tuple, evidence.ledger_violations(spark.createDataFrame(rows, "pair_index long, pair_order long, disposition string, first long, second long"), 5, n).collect()), key=str)
+    assert wrong(fine) == wrong(fine, 6) == []
+    assert wrong(fine[:2] + fine[4:]) == [(4, "hole before")] and wrong(fine[1:]) == [(1, "hole before")]
+    assert wrong(fine, 7) == wrong(fine, 5) == [(None, "count")]
+    assert wrong([*fine, (6, order(6), "included", 1, None), (7, order(7), "failed", None, None)]) == [(6, "fields")]
+
+
 def test_generations(spark):
     listing = spark.createDataFrame([(1, "log"), (1, "marker"), (3, "log"), (3, "marker"), (2, "staging"), (5, "log"), (5, "reserved"), (4, "log")], "id long, kind string")
     assert generations.authority(listing).head() == (3, True)
