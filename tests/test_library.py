@@ -106,6 +106,14 @@ def test_run_costs_of_a_known_layout(spark):
     assert runs.range_decoded(held, 0, 100).head() == (10, 9)
 
 
+def test_runs_are_numbered_in_slices(spark):
+    held = spark.createDataFrame([(run, run, run, "put", 1) for run in range(0, 90, 3)], "run_id long, key long, seq long, kind string, val long")
+    probes = spark.createDataFrame([(k,) for k in range(90)], "key long")
+    for slice_ids in (7, 30, 1 << 20):
+        got = {r.key: r.consults for r in runs.point_consults(held, probes, slice_ids).collect()}
+        assert got == {k: 30 - k // 3 if k % 3 == 0 else 30 for k in range(90)}
+
+
 def test_prefix_proofs_tell_logs_apart(spark):
     rows = random_log(3, 50)
     proof = lambda rows, n=40: temporal.prefix_proof(spark.createDataFrame(rows, LOG), n).head()
