@@ -10,11 +10,14 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
+
 #: Only used where the session names no spark.checkpoint.dir (tests, one machine).
 LOCAL_SHARED = "file:///tmp/checkpoints"
 
 _written: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
+_files: dict[tuple[str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master uses
+    LOCAL_SHARED, and any other is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidInput("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = LOCAL_SHARED
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
@@ -76,6 +82,21 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def ship_file(spark: SparkSession, path: str) -> str:
+    """Gives a file of the driver to all executors. Returns the name that `shipped_file` finds it by in a worker."""
+    key, name = (spark.sparkContext.applicationId, os.path.basename(path)), os.path.basename(path)
+    if _files.setdefault(key, os.path.abspath(path)) != os.path.abspath(path):
+        raise ValueError(f"another file named {name} was given to the executors before")
+    spark.sparkContext.addFile(path)
+    return name
+
+
+def shipped_file(name: str) -> str:
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(name)
+
+
 def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     """Rows of (id, `by`): of each value of `by` some `most` rows, or all if there are fewer. Which, the ids' hashes
     say. The values are a classifier's classes: the driver holds a number for each, as the model does."""

@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, ship_file, shipped_file
 from .textarrays import code_points, mix, slices, text_bytes
 
 MARK = 0x2581  # stands for a space in pieces
@@ -50,6 +51,7 @@ class Merges:
                 written.append(piece.replace(chr(MARK), " ").encode())
         if any(a != chr(MARK) and b == chr(MARK) for piece in usable for a, b in zip(piece, piece[1:])):
             raise ValueError("a piece goes across the beginning of a word")
+        self.usable = usable
         self.bytes = np.frombuffer(b"".join(written), np.uint8)
         self.byte_length = np.array([len(w) for w in written], np.int64)
         self.byte_start = np.cumsum(self.byte_length) - self.byte_length
@@ -61,29 +63,29 @@ class Merges:
         rank = np.zeros(n, np.int64)
         rank[order] = np.arange(len(order))
         self.rank = rank
-        pairs = {}
+
+    @cached_property
+    def tables(self) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Hash tables from pairs to merged pieces, which only encoding needs: the second holds those whose slot in
+        the first is taken."""
+        pairs, usable, tables = {}, self.usable, []
         for piece, i in usable.items():
             for k in range(1, len(piece)):
                 left, right = usable.get(piece[:k]), usable.get(piece[k:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = i
-        self._tables(pairs)
-
-    def _tables(self, pairs: dict[int, int]) -> None:
-        """Hash tables from pairs to merged pieces: the second holds those whose slot in the first is taken."""
         keys, values = np.array(list(pairs), np.uint64), np.array(list(pairs.values()), np.int32)
-        self.tables = []
         for bits, factor in ((21, 0x9E3779B97F4A7C15), (18, 0xC2B2AE3D27D4EB4F), (16, 0xD6E8FEB86659FD93)):
             slot = self._slot(keys, factor, bits)
             _, first = np.unique(slot, return_index=True)
             held, piece = np.full(1 << bits, ~_U(0), np.uint64), np.full(1 << bits, -1, np.int32)
             held[slot[first]], piece[slot[first]] = keys[first], values[first]
-            self.tables.append((factor, bits, held, piece))
+            tables.append((factor, bits, held, piece))
             rest = np.ones(len(keys), bool)
             rest[first] = False
             keys, values = keys[rest], values[rest]
             if not len(keys):
-                return
+                return tables
         raise ValueError("the vocabulary has too many merges for the tables")
 
     @staticmethod
@@ -221,9 +223,9 @@ def merges(model_file: str) -> Merges:
     return _shared[model_file]
 
 
-def _encoded(model_file: str, rate: float, seed: int):
+def _encoded(model_name: str, rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = merges(model_file)
+        model = merges(shipped_file(model_name))
         for batch in batches:
             data, at = text_bytes(batch.column(1))
             with np.errstate(over="ignore"):
@@ -235,21 +237,31 @@ def _encoded(model_file: str, rate: float, seed: int):
     return run
 
 
-def _decoded(model_file: str):
+def _decoded(model_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = merges(model_file)
+        model = merges(shipped_file(model_name))
         for batch in batches:
             ids = batch.column("ids").fill_null([]) if batch.column("ids").null_count else batch.column("ids")
-            flat, bounds = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy()))])
-            raw, at = model.decode(flat, bounds)
-            text = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
-            words = memoryview(np.ascontiguousarray(flat, "<i4")).cast("B")
-            crc = [zlib.crc32(words[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), text.cast(pa.string())], names=["doc_id", "n_tokens", "ids_crc32", "text"])
+            flat, all_bounds = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy()))])
+            for i, j in slices(all_bounds):
+                own, bounds = flat[all_bounds[i] : all_bounds[j]], all_bounds[i : j + 1] - all_bounds[i]
+                raw, at = model.decode(own, bounds)
+                text = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw)))
+                words = memoryview(np.ascontiguousarray(own, "<i4")).cast("B")
+                crc = [zlib.crc32(words[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds)), pa.array(crc, pa.int64()), text.cast(pa.string())], names=["doc_id", "n_tokens", "ids_crc32", "text"])
 
     return run
 
 
+ENCODED, DECODED = "doc_id long, ids array<int>", "doc_id long, n_tokens long, ids_crc32 long, text string"
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", *, rate: float = 0.1, seed: int = 0) -> DataFrame:
     """One row per row of docs: doc_id, ids. rate 0 gives SentencePiece's own segmentation (but for texts with the
     mark U+2581, which is spelled in bytes here, as decoding would take it for a space); rate 1 gives characters.
@@ -257,13 +269,19 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
     * A null or empty text has no ids. * Null ids share one key of the hash; rows that repeat an id and text repeat
     its segmentation. * Other columns are not read; an empty table gives no rows.
     """
-    ship(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_encoded(model_file, rate, seed), "doc_id long, ids array<int>")
+    return _texts(docs, id_col, text_col).mapInArrow(_encoded(ship_file(docs.sparkSession, model_file), rate, seed), ENCODED)
 
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """Of rows (doc_id, ids): doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers), text. Null ids
     are none, whose text is empty."""
     ship(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(_decoded(model_file), "doc_id long, n_tokens long, ids_crc32 long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(_decoded(ship_file(encoded.sparkSession, model_file)), DECODED)
+
+
+def round_trip(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", *, rate: float = 0.1, seed: int = 0) -> DataFrame:
+    """decode(encode(docs)) in one pass: each slice of texts is decoded as soon as it is encoded, so that no worker
+    holds a whole batch's ids and no second one is needed."""
+    name = ship_file(docs.sparkSession, model_file)
+    encoded, decoded = _encoded(name, rate, seed), _decoded(name)
+    return _texts(docs, id_col, text_col).mapInArrow(lambda batches: decoded(encoded(batches)), DECODED)

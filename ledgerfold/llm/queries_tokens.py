@@ -7,13 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .merge_dropout import decode, encode
+from .merge_dropout import round_trip
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments every text with merge-dropout and decodes it: text_sha256 is that of the decoded text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    back = decode(encode(table(spark, sf_dir, "documents"), model, rate=0.1, seed=20240229), model)
+    back = round_trip(table(spark, sf_dir, "documents"), model, rate=0.1, seed=20240229)
     return back.select("doc_id", "n_tokens", "ids_crc32", F.octet_length("text").cast("long").alias("text_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -12,7 +12,7 @@ import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerfold.llm.merge_dropout import decode, encode, merges
+from ledgerfold.llm.merge_dropout import decode, encode, merges, round_trip
 from ledgerfold.llm.queries_tokens import op3_sentencepiece
 from ledgerfold.llm.textarrays import slices, text_bytes
 
@@ -113,6 +113,8 @@ def test_keys_vary_and_repeat(spark):
     assert dict((str(r.doc_id), r.ids) for r in encode(docs, FILE, rate=0.3, seed=8).collect())["1"] != of["1"]
     back = {str(r.doc_id): r for r in decode(encode(docs, FILE, rate=0.3), FILE).collect()}
     assert {k: r.text for k, r in back.items()} == {str(k): t or "" for k, t, _ in rows}
+    at_once = {str(r.doc_id): r for r in round_trip(docs, FILE, rate=0.3).collect()}
+    assert at_once == back
     assert back["3"].ids_crc32 == zlib.crc32(b"") and encode(docs.limit(0), FILE).count() == 0
 
 
