@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import ship, ship_file, shipped_file, written
 from .textarrays import slices, text_bytes
 
 SLICE_BYTES = 1 << 20
@@ -91,13 +91,13 @@ def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _pieces(tokenizer_file: str, end_id: int, capacity: int):
+def _pieces(tokenizer_name: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         from .word_ids import shared_encoder
 
-        encoder, part = shared_encoder(tokenizer_file, end_id), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(shipped_file(tokenizer_name), end_id), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             data, at = text_bytes(batch.column(1))
@@ -151,7 +151,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
     It is written to the shared folder: partition numbers must stay what they were when a task runs again."""
     ship(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return written(narrow.mapInArrow(_pieces(tokenizer_file, end_id, capacity), PIECES), "pieces")
+    return written(narrow.mapInArrow(_pieces(ship_file(docs.sparkSession, tokenizer_file), end_id, capacity), PIECES), "pieces")
 
 
 def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 1, capacity: int = 4096) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import ftrl
 from .common import bounded_sample, ship
-from .textarrays import code_points, gram_slots, mix, slices, span_hashes, sums_by_text, text_bytes
+from .textarrays import code_points, distinct_spans, gram_slots, mix, slices, span_hashes, sums_by_text, text_bytes
 
 ORDERS, BITS = (1, 2, 3), 17
 #: Fixed values of the base rules.
@@ -45,6 +45,18 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, at)
 
 
+def numbered(*columns: np.ndarray) -> np.ndarray:
+    """A number for each row of the columns (not negative), equal for equal rows and for no others."""
+    out, top = columns[0].astype(np.int64), int(columns[0].max(initial=0)) + 1
+    for column in columns[1:]:
+        size = int(column.max(initial=0)) + 1
+        if top * size >= 1 << 62:
+            _, out = np.unique(out, return_inverse=True)
+            top = len(out) + 1
+        out, top = out * size + column, top * size
+    return out
+
+
 def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
     n = len(at) - 1
@@ -65,19 +77,17 @@ def base_counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     has_word = chars[end] > chars[begin]
     begin, end = begin[has_word], end[has_word]
     text = np.searchsorted(at, begin, "right") - 1
-    line = mix(span_hashes(data, begin, end) ^ mix(text.astype(np.uint64))) if len(begin) else np.zeros(0, np.uint64)
-    _, first = np.unique(line, return_index=True)
+    _, line = distinct_spans(data, begin, end)
+    _, first = np.unique(numbered(text, line), return_index=True)
     out["n_dup_lines"] = np.bincount(text, minlength=n) - np.bincount(text[first], minlength=n)
 
     # Words in windows of three that the text holds twice or more.
-    words = span_hashes(data, starts, ends)
-    covered = np.zeros(len(words), bool)
-    if len(words) > 2:
+    _, word = distinct_spans(data, starts, ends)
+    covered = np.zeros(len(word), bool)
+    if len(word) > 2:
         owner = np.repeat(np.arange(n), np.diff(places))
         own = np.flatnonzero(owner[:-2] == owner[2:])
-        with np.errstate(over="ignore"):
-            window = mix(mix(mix(words[own] ^ mix(owner[own].astype(np.uint64))) + words[own + 1]) + words[own + 2])
-        _, inverse, counts = np.unique(window, return_inverse=True, return_counts=True)
+        _, inverse, counts = np.unique(numbered(owner[own], word[own], word[own + 1], word[own + 2]), return_inverse=True, return_counts=True)
         again = own[counts[inverse] > 1]
         for k in range(3):
             covered[again + k] = True

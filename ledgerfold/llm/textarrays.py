@@ -40,42 +40,70 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         i = j
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every input bit moves every output bit."""
     with np.errstate(over="ignore"):
-        return np.cumprod(out, dtype=np.uint64)
-
-
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers_of: dict[int, np.ndarray] = {}
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    if base not in _powers_of or len(_powers_of[base]) < n:
-        _powers_of[base] = _powers(max(n, 2 * SLICE_BYTES), base)
-    return _powers_of[base][:n]
+_BYTE = np.random.default_rng(20240229).integers(0, 1 << 64, 256, dtype=np.uint64)
+_place = [np.zeros(0, np.uint64)]
 
 
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+def _places(n: int) -> np.ndarray:
+    """A 64-bit number for each of the first n places of a span. Tables for more than a slice are not kept."""
+    if n > len(_place[0]):
+        table = mix(np.arange(max(n, SLICE_BYTES), dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        if n > SLICE_BYTES:
+            return table
+        _place[0] = table
+    return _place[0][:n]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit moves every output bit."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+def _spread(starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all bytes of the spans, in order: their places in their spans, and in the data."""
+    before = np.cumsum(size) - size
+    own = np.arange(int(size.sum())) - np.repeat(before, size)
+    return own, own + np.repeat(starts, size)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, equal for equal bytes wherever they stand."""
+    """A 64-bit hash of each span's bytes, equal for equal bytes wherever they stand: the sum of unrelated numbers for
+    every (byte, place in the span)."""
+    size = ends - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    own, at = _spread(starts, size)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power_table(_BASE, len(data)), out=sums[1:])
-        own = (sums[ends] - sums[starts]) * _power_table(_INVERSE, len(data) + 1)[starts]
-        return mix(own + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        x = _BYTE[data[at]] ^ _places(int(size.max()))[own]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(29)
+        sums = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(x, out=sums[1:])
+        stop = np.cumsum(size)
+        return mix(sums[stop] - sums[stop - size] + size.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first span of every distinct content, and which of these each span equals. Spans of one hash are compared
+    byte by byte, so the result doesn't rest on hashes."""
+    _, first, which = np.unique(span_hashes(data, starts, ends) if hashes is None else hashes, return_index=True, return_inverse=True)
+    size, like = ends - starts, first[which]
+    if (size == size[like]).all():
+        own, at = _spread(starts, size)
+        if (data[at] == data[own + np.repeat(starts[like], size)]).all():
+            return first, which
+    held: dict[bytes, int] = {}  # different contents of one hash
+    first, which, raw = [], np.zeros(len(starts), np.int64), data.tobytes()
+    for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        content = raw[a:b]
+        if content not in held:
+            held[content] = len(held)
+            first.append(k)
+        which[k] = held[content]
+    return np.array(first, np.int64), which
 
 
 def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

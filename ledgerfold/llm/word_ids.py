@@ -2,14 +2,14 @@
 
 A text is cut into chunks where the tokenizer never joins what stands on both sides: at white space, and
 between a letter and an ASCII sign or digit. The chunks' ids are the tokenizer's own; they are kept by the
-chunk's 64-bit hash, and a text's ids are put together by NumPy.
+chunk's bytes, and a text's ids are put together by NumPy.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .textarrays import span_hashes
+from .textarrays import distinct_spans
 
 _SPACE, _LETTER, _SIGN, _OTHER = range(4)
 _KIND = np.full(256, _SIGN, np.uint8)
@@ -60,18 +60,23 @@ def shared_encoder(tokenizer_file: str, last_id: int) -> WordIds:
 
 
 class WordIds:
-    """Encodes slices of texts. The cache is emptied when it holds max_chunks chunks, which bounds its memory."""
+    """Encodes slices of texts. The cache is emptied when it holds more than max_bytes bytes, by an upper estimate;
+    beyond that come the chunks of one slice."""
 
-    def __init__(self, tokenizer_file: str, last_id: int, max_chunks: int = 1_000_000):
+    #: An entry of the cache without its chunk's bytes and ids: a dictionary's entry, a bytes object, two numbers.
+    ENTRY = 200
+
+    def __init__(self, tokenizer_file: str, last_id: int, max_bytes: int = 96 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.model = self.tokenizer.model
-        self.last_id, self.max_chunks = last_id, max_chunks
+        self.last_id, self.max_bytes = last_id, max_bytes
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.held = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 1
         self.flat[0] = self.last_id
         self.start, self.length, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 1
@@ -86,8 +91,8 @@ class WordIds:
             return [token.id for token in self.model.tokenize(low.encode().decode("latin-1").translate(_BYTE_CHARACTERS))]
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _add(self, hashes: list[int], chunks: list[bytes]) -> None:
-        for h, chunk in zip(hashes, chunks, strict=True):
+    def _add(self, chunks: list[bytes]) -> None:
+        for chunk in chunks:
             ids = self._ids(chunk)
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
@@ -95,12 +100,13 @@ class WordIds:
                 self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
             self.flat[self.used : self.used + len(ids)] = ids
             self.start[self.count], self.length[self.count] = self.used, len(ids)
-            self.known[h] = self.count
+            self.known[chunk] = self.count
             self.used, self.count = self.used + len(ids), self.count + 1
+            self.held += self.ENTRY + len(chunk) + 8 * len(ids)
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, the last of each being last_id, and where each text's begin and end."""
-        if self.count > self.max_chunks:
+        if self.held > self.max_bytes:
             self.forget()
         raw = data.tobytes()
         if b"<|" in raw:  # the tokenizer's special tokens go across chunks
@@ -113,12 +119,10 @@ class WordIds:
         data = _LOWER[data]
         low = data.tobytes()
         starts, ends = chunk_spans(data, at)
-        hashes, first, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = hashes.tolist()
-        new = [k for k, h in enumerate(keys) if h not in self.known]
-        if new:
-            self._add([keys[k] for k in new], [low[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-        index = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
+        first, which = distinct_spans(data, starts, ends)
+        chunks = [low[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self._add([c for c in chunks if c not in self.known])
+        index = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))[which]
         per_text = np.bincount(np.searchsorted(at, starts, "right") - 1, minlength=n)[:n] if len(starts) else np.zeros(n, np.int64)
         index = np.insert(index, np.cumsum(per_text), 0)  # entry 0 is last_id
         lengths = self.length[index]

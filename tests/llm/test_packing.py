@@ -71,6 +71,15 @@ def test_ids_are_the_tokenizers():
     assert encoded([*ODD, None]) == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in [*ODD, ""]]
 
 
+def test_chunks_are_kept_by_content():
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))  # polynomial hashes modulo powers of two can't tell the two apart
+    tokenizer = shared_encoder(FILE, 1).tokenizer
+    assert encoded([a, b, f"{a} {b}"]) == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in (a, b, f"{a} {b}")]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aBzÉéß'’.-# \n\t ́ΣςİKıŒœ×÷12٣€日<|>"), max_size=20), min_size=1, max_size=4))
 def test_ids_of_any_text(texts):
