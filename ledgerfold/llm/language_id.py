@@ -13,9 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from . import ftrl
 from .common import bounded_sample, ship
@@ -116,26 +115,27 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return fit(table["text"].combine_chunks(), table["lang"].to_pylist())
 
 
-def _predicted(model: LanguageModel, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def language(model: LanguageModel, text: Column) -> Column:
+    """A struct of lang and score, the probability of that language. A text that is null or has no letters is `und`
+    with score 0; so is every text for a model that learned from no rows. Python sees the texts alone, so other
+    columns, whatever their names, stay where they are."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = model.model.table(BITS)
-        languages = np.array([*model.languages, UNDETERMINED], object)
-        for batch in batches:
-            data, at = text_bytes(batch.column(batch.num_columns - 1))
+        names = np.array([*model.languages, UNDETERMINED], object)
+        for texts in batches:
+            data, at = text_bytes(texts)
             parts = [predict(table, model.model.bias, model.temperature, data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(at)]
             index = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
             score = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], pa.array(languages[index], pa.string()), pa.array(score)], names=[*names, "__lang_pred", "__score"])
-
-    return run
+            yield pa.StructArray.from_arrays([pa.array(names[index], pa.string()), pa.array(score)], names=["lang", "score"])
 
+    ship(SparkSession.active())
+    return F.arrow_udf(run, "lang string, score double")(text.cast("string"))
 
-def language_id(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
-    """docs with the columns __lang_pred and __score, the probability of that language.
 
-    A text that is null or has no letters is `und` with score 0; so is every text for a model that learned from
-    no rows. All columns of docs are kept; rows that repeat are each judged; an empty table gives no rows.
-    """
-    ship(docs.sparkSession)
-    schema = StructType([*docs.schema.fields, StructField("__lang_pred", StringType()), StructField("__score", DoubleType())])
-    return docs.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(_predicted(model, docs.columns), schema)
+def language_id(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", lang_col: str = "__lang_pred", score_col: str = "__score") -> DataFrame:
+    """docs with the columns lang_col and score_col: see language. Columns of docs that have these names (in any case)
+    are replaced. All others are kept; rows that repeat are each judged; an empty table gives no rows."""
+    found = language(model, F.col(text_col))
+    return docs.withColumns({lang_col: found["lang"], score_col: found["score"]})

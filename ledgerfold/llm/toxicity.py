@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_sample, ship
@@ -124,28 +124,24 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", id_col: s
     return fit(table["text"].combine_chunks(), table["label"].to_numpy())
 
 
-def _scored(model: ToxicityModel, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def score(model: ToxicityModel, text: Column) -> Column:
+    """The probability that the text is toxic; a null text counts as the empty one, whose score is that of no
+    features. Python sees the texts alone, so other columns, whatever their names, stay where they are."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table = np.zeros(1 << BITS)
         table[model.slots] = model.weights
         wanted = table != 0
-        for batch in batches:
-            data, at = text_bytes(batch.column(batch.num_columns - 1))
+        for texts in batches:
+            data, at = text_bytes(texts)
             parts = [_probability(table, wanted, model.bias, data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in slices(at)]
-            score = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], pa.array(score)], names=[*names, "__score"])
-
-    return run
-
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
-def toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
-    """docs with the column __score, the probability that the text is toxic.
+    ship(SparkSession.active())
+    return F.arrow_udf(run, "double")(text.cast("string"))
 
-    A null text counts as the empty one, whose score is that of no features. All columns of docs are kept, nulls
-    and repeated rows as well; an empty table gives no rows.
-    """
-    from pyspark.sql.types import DoubleType, StructField, StructType
 
-    ship(docs.sparkSession)
-    schema = StructType([*docs.schema.fields, StructField("__score", DoubleType())])
-    return docs.select("*", F.col(text_col).cast("string").alias("__text")).mapInArrow(_scored(model, docs.columns), schema)
+def toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "__score") -> DataFrame:
+    """docs with the column score_col: see score. A column of docs that has that name (in any case) is replaced. All
+    other columns are kept, nulls and repeated rows as well; an empty table gives no rows."""
+    return docs.withColumn(score_col, score(model, F.col(text_col)))

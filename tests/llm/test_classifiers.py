@@ -9,8 +9,9 @@ import pyarrow as pa
 import pytest
 
 from ledgerfold.llm import ftrl, language_id, quality, toxicity
+from ledgerfold.llm.quality import numbered
 from ledgerfold.llm.queries_classifiers import op1_quality_rules, op4_language_id, op8_toxicity
-from ledgerfold.llm.textarrays import code_points, gram_slots, slices, span_hashes, sums_by_text, text_bytes
+from ledgerfold.llm.textarrays import code_points, distinct_spans, gram_slots, slices, span_hashes, sums_by_text, text_bytes
 
 SF = "/root/testdata/sf0.01"
 
@@ -76,11 +77,12 @@ def test_toxicity_of_held_out_documents(spark):
 
 def test_rows_of_every_kind(spark):
     rows = [(k, t, "x", 0, 0.5) for k, t in enumerate(ODD)] + [(None, "text without id", "x", 1, 1.0), (1, "same", None, None, None), (1, "same", None, None, None), (3, "long word " * 30_000, "y", 1, 1.0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, label int, score double").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __SCORE int, __text double").repartition(3)
     labels = spark.createDataFrame([(0, 1, 1), (4, 0, 0), (4, 1, 0), (None, 1, 1), (5, None, None), (3, 1, 1), (9, 0, 0)], "doc_id long, quality int, toxic int")
     for of_labels in (labels, labels.limit(0), labels.filter("doc_id = 4")):
         scored = toxicity.toxicity(docs, toxicity.train(docs, of_labels)).collect()
         assert len(scored) == len(rows) and all(0 <= r.__getitem__("__score") <= 1 for r in scored)
+        assert Counter(r["__text"] for r in scored) == Counter(r[4] for r in rows)
         judged = quality.quality_rules(docs, quality.train(docs, of_labels)).collect()
         assert len(judged) == len(rows) and all(0 <= r.quality <= 1 for r in judged)
     for of_docs in (docs, docs.filter("lang is null"), docs.limit(0)):
@@ -105,6 +107,36 @@ def test_penalties_leave_few_weights():
     assert len(model.slots) < 50 and {2000, 2001} <= set(model.slots.tolist())
 
 
+def twins(n):
+    """Two words of 2 ** n letters that polynomial hashes modulo powers of two can't tell apart."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_lines_and_windows_are_compared_by_content():
+    a, b = twins(11)
+    texts = [f"{a}\n{b}", f"{a}\n{a}", f"x y {a} x y {b}", f"x {a} y\nx {a} y"]
+    data, at = text_bytes(pa.array(texts))
+    counts = quality.base_counts(data, at)
+    assert list(zip(*[counts[c].tolist() for c in quality.COUNTS], strict=True)) == [plain_counts(t) for t in texts]
+    starts, ends, _ = quality.word_spans(data, at)
+    first, which = distinct_spans(data, starts, ends, np.zeros(len(starts), np.uint64))  # all hashes alike
+    words = [data[i:j].tobytes() for i, j in zip(starts, ends, strict=True)]
+    assert [words[first[k]] for k in which] == words and len(first) == len(set(words)) == 4
+    assert len(set(span_hashes(data, starts, ends).tolist())) == 4
+
+
+def test_rows_are_numbered_exactly():
+    rng = np.random.default_rng(3)
+    for top in (3, 1 << 25, 1 << 40):
+        columns = [rng.integers(0, 3, 200) * top for _ in range(4)]
+        rows = list(zip(*columns, strict=True))
+        got = numbered(*columns).tolist()
+        assert len(set(got)) == len(set(rows)) == len({(g, r) for g, r in zip(got, rows, strict=True)})
+
+
 def test_text_arrays():
     texts = ["abc", "", "éaé", "bcé日", "abcabc"]
     data, at = text_bytes(pa.array(texts))
