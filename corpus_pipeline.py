@@ -23,14 +23,14 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, doesn't find toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.toxicity(docs, model).filter(F.col("__score") < TOXIC).select(*docs.columns)
+    return docs.filter(toxicity.score(model, F.col("text")) < TOXIC)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the classifier, trained on their declared languages, is sure enough of."""
     model = language_id.train(docs)
-    sure = (F.col("__lang_pred") != language_id.UNDETERMINED) & (F.col("__score") >= LANGUAGE)
-    return language_id.language_id(docs, model).filter(sure).select(*docs.columns)
+    found = language_id.language(model, F.col("text"))
+    return docs.filter((found["lang"] != language_id.UNDETERMINED) & (found["score"] >= LANGUAGE))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
