@@ -5,13 +5,16 @@ stored in full. Records (gzip members, or plain) are rows of Spark's text sink,
 member or the record terminator, so files are committed by Spark as they are in any other job, and a lost
 executor costs its tasks only.
 
-Reading: a file (plain, or gzip with a member a record) is walked from record to record. Where a check fails
-(version line, header, lengths, terminator, digest, gzip checks), the reader searches for the next version line or
-member that passes its checks, goes on there, and logs the bytes between as a quarantined gap.
+Reading: a file (plain, or gzip with any number of records in a member) is walked from record to record. Where a check
+fails (version line, header, lengths, terminator, digest, gzip checks), the reader searches for the next version line or
+member that passes its checks, goes on there, and logs the bytes between as a quarantined gap. It does the same within
+what a member holds, and of a member that is cut or fails gzip's checks it keeps the records whose own digests hold.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import gzip
 import hashlib
 import re
@@ -37,7 +40,7 @@ RECORD_ID = "urn:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NO_DATE = "1970-01-01T00:00:00Z"
 
-RECORDS = "file string, start long, stop long, kind string, record_type string, record_id string, refers_to string, payload_digest string, payload binary, why string"
+RECORDS = "file string, start long, stop long, inner_start long, inner_stop long, kind string, record_type string, record_id string, refers_to string, payload_digest string, payload binary, why string"
 
 
 def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, min_bytes: int = 1000) -> DataFrame:
@@ -118,16 +121,23 @@ def write_warc(records: DataFrame, path: str, *, records_per_file: int = 2000, b
 
 
 def _header(raw: bytes, start: int) -> tuple[dict[bytes, bytes], int] | None:
-    """The record's named fields and where its block begins, or None."""
+    """The record's named fields and where its block begins, or None. A line that begins with a space or tab goes on
+    with the field before it."""
     version = _VERSION_LINE.match(raw, start)
     if not version:
         return None
-    fields, at = {}, version.end()
+    fields, at, last = {}, version.end(), None
     while (stop := raw.find(b"\r\n", at)) > at:
-        name, colon, value = raw[at:stop].partition(b":")
-        if not colon:
-            return None
-        fields[name.strip().lower()] = value.strip()
+        if raw[at : at + 1] in (b" ", b"\t"):
+            if last is None:
+                return None
+            fields[last] = (fields[last] + b" " + raw[at:stop].strip()).strip()
+        else:
+            name, colon, value = raw[at:stop].partition(b":")
+            if not colon:
+                return None
+            last = name.strip().lower()
+            fields[last] = value.strip()
         at = stop + 2
     return (fields, at + 2) if stop == at else None
 
@@ -136,8 +146,30 @@ def _bare(value: bytes | None) -> str | None:
     return value.decode("utf-8", "replace").strip("<>").removeprefix(RECORD_ID) if value else None
 
 
-def parse_record(raw: bytes, start: int) -> tuple[dict, int] | str:
-    """The record that begins at start and where it ends, or which check it fails."""
+def _digest(value: bytes) -> tuple[str, str]:
+    """Algorithm and lower-case hex digits of a digest that is labelled and spelled in hex or base32."""
+    text = value.decode("ascii", "replace")
+    name, colon, digits = text.partition(":")
+    name, digits = (name.lower().replace("-", ""), digits) if colon else ("sha1", text)
+    size = hashlib.new(name).digest_size if name in _ALGORITHMS else 0
+    if size and len(digits.rstrip("=")) == -(-size * 8 // 5):
+        try:
+            return name, base64.b32decode(digits.rstrip("=").upper() + "=" * (-len(digits.rstrip("=")) % 8)).hex()
+        except binascii.Error:
+            pass
+    return name, digits.lower()
+
+
+_ALGORITHMS = ("md5", "sha1", "sha256", "sha512")
+
+
+def _holds(wanted: tuple[str, str], content: bytes) -> bool:
+    return hashlib.new(wanted[0], content).hexdigest() == wanted[1]
+
+
+def parse_record(raw: bytes, start: int) -> tuple[dict, int, bool] | str:
+    """The record that begins at start, where it ends and whether a digest of it was checked, or which check it fails.
+    Digests by other algorithms than MD5, SHA-1, SHA-256 and SHA-512 aren't checked."""
     head = _header(raw, start)
     if not head:
         return "version line or header"
@@ -151,72 +183,109 @@ def parse_record(raw: bytes, start: int) -> tuple[dict, int] | str:
     if raw[stop : stop + 4] != b"\r\n\r\n":
         return "terminator"
     block = raw[block_at:stop]
-    wanted = fields.get(b"warc-block-digest", b"").removeprefix(b"sha1:")
-    if wanted and hashlib.sha1(block).hexdigest().encode() != wanted.lower():
+    of_block, of_payload = _digest(fields.get(b"warc-block-digest", b"")), _digest(fields.get(b"warc-payload-digest", b""))
+    checked = of_block[0] in _ALGORITHMS and bool(of_block[1])
+    if checked and not _holds(of_block, block):
         return "block digest"
     kind = fields.get(b"warc-type", b"").decode("ascii", "replace")
     payload = block.partition(b"\r\n\r\n")[2] if fields.get(b"content-type", b"").startswith(b"application/http") else block
-    digest = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:").decode("ascii", "replace")
+    digest = of_payload[1]
     if kind != "revisit":
-        own = hashlib.sha1(payload).hexdigest()
-        if digest and digest.lower() != own:
-            return "payload digest"
-        digest = own
-    record = {"record_type": kind, "record_id": _bare(fields.get(b"warc-record-id")), "refers_to": _bare(fields.get(b"warc-refers-to")), "payload_digest": digest.lower(), "payload": payload}
-    return record, stop + 4
-
-
-def _member(raw: bytes, start: int, most: int | None) -> tuple[bytes, int] | str:
-    """What the gzip member at start holds and where it ends, or which check it fails."""
+        if of_payload[0] in _ALGORITHMS and digest:
+            checked = True
+            if not _holds(of_payload, payload):
+                return "payload digest"
+        digest = digest if of_payload[0] == "sha1" and digest else hashlib.sha1(payload).hexdigest()
+    record = {"record_type": kind, "record_id": _bare(fields.get(b"warc-record-id")), "refers_to": _bare(fields.get(b"warc-refers-to")), "payload_digest": digest, "payload": payload}
+    return record, stop + 4, checked
+
+
+def _readable(inflate, part: bytes, most: int) -> bytes:
+    """What comes before the error in a part: zlib tells nothing of a call that fails, so the calls get shorter."""
+    held = b""
+    for step in (1 << 10, 1):
+        at = 0
+        try:
+            while at < len(part) and len(held) < most:
+                before = inflate.copy()
+                held += inflate.decompress(part[at : at + step], most - len(held))
+                at += step
+        except zlib.error:
+            inflate, part = before, part[at : at + step]
+    return held
+
+
+def _member(raw: bytes, start: int, most: int | None) -> tuple[bytes, int, str]:
+    """What the gzip member at start holds, where it ends, and which check it fails, if any: it then holds what could
+    be read."""
     inflate, held, at = zlib.decompressobj(31), [], start
     if most is None:
         most = (len(raw) - start) * _RATIO
     try:
         while not inflate.eof and at < len(raw) and most > 0:
-            part = raw[at : at + _STEP]
+            part, before = raw[at : at + _STEP], inflate.copy()
             held.append(inflate.decompress(part, most))
             most -= len(held[-1])
             at += len(part) - len(inflate.unused_data) - len(inflate.unconsumed_tail)
     except zlib.error as error:
-        return f"gzip: {error}"
+        held.append(_readable(before, part, most))
+        return b"".join(held), at, f"gzip: {error}"
     if not inflate.eof:
-        return "gzip: longer than allowed" if most <= 0 else "gzip: truncated"
-    return b"".join(held), at
+        return b"".join(held), at, "gzip: longer than allowed" if most <= 0 else "gzip: truncated"
+    return b"".join(held), at, ""
+
+
+def _inside(held: bytes, sure: bool) -> tuple[list[dict], list[dict]]:
+    """Records and gaps of what a member holds. Unless sure, records without a checked digest are gaps."""
+    records, gaps, at, gap, why = [], [], 0, None, ""
+    while at < len(held):
+        got = parse_record(held, at)
+        if isinstance(got, str) or not (sure or got[2]):
+            if gap is None:
+                gap, why = at, got if isinstance(got, str) else "no digest"
+            line = _VERSION_LINE.search(held, at + 1)
+            at = line.start() if line else len(held)
+            continue
+        if gap is not None:
+            gaps.append({"inner_start": gap, "inner_stop": at, "why": f"in member: {why}"})
+            gap = None
+        records.append({**got[0], "inner_start": at, "inner_stop": got[1]})
+        at = got[1]
+    if gap is not None:
+        gaps.append({"inner_start": gap, "inner_stop": len(held), "why": f"in member: {why}"})
+    return records, gaps
 
 
 def salvage(raw: bytes, *, most: int | None = None) -> Iterator[dict]:
-    """All that a file holds, in order: records (kind "record") and gaps (kind "gap"), each with start, stop, and
-    for gaps why. Starts and stops are places in the file, so they cover it without overlap. A member that holds
-    more than `most` bytes is a gap; without `most`, none is too long."""
-    at, gap, why = 0, None, ""
+    """All that a file holds: records (kind "record") and gaps (kind "gap"), each with start, stop, and for gaps why.
+    Starts and stops are places in the file, whose spans cover it without overlap. What is in a member has the member's
+    span, and inner_start and inner_stop, places in what it holds. Of a member that fails gzip's checks, which is a gap,
+    the records that could be read have the gap's span. A member that holds more than `most` bytes fails; without
+    `most`, none is too long."""
+    at, gap, why, read = 0, None, "", []
     while at < len(raw):
-        found: list[dict] = []
+        records: list[dict] = []
+        gaps: list[dict] = []
         if raw.startswith(_MEMBER, at):
-            member = _member(raw, at, most)
-            failed = member if isinstance(member, str) else ""
-            if not failed:
-                held, stop = member
-                inner = 0
-                while inner < len(held) and not failed:
-                    got = parse_record(held, inner)
-                    if isinstance(got, str):
-                        failed = f"in member: {got}"
-                    else:
-                        found.append(got[0])
-                        inner = got[1]
+            held, stop, failed = _member(raw, at, most)
+            records, gaps = _inside(held, not failed)
+            if not failed and gaps and not records:
+                failed, gaps = gaps[0]["why"], []
         else:
             got = parse_record(raw, at)
             failed = got if isinstance(got, str) else ""
             if not failed:
-                found, stop = [got[0]], got[1]
+                records, stop = [got[0]], got[1]
         if not failed:
             if gap is not None:
                 yield {"kind": "gap", "start": gap, "stop": at, "why": why}
-                gap = None
-            for record in found:
-                yield {"kind": "record", "start": at, "stop": stop, **record}
+                yield from ({"kind": "record", "start": gap, "stop": at, **record} for record in read)
+                gap, read = None, []
+            yield from ({"kind": "record", "start": at, "stop": stop, **record} for record in records)
+            yield from ({"kind": "gap", "start": at, "stop": stop, **inner} for inner in gaps)
             at = stop
             continue
+        read += records
         if gap is None:
             gap, why = at, failed
         line = _VERSION_LINE.search(raw, at + 1)
@@ -224,10 +293,11 @@ def salvage(raw: bytes, *, most: int | None = None) -> Iterator[dict]:
         at = min(ahead, default=len(raw))
     if gap is not None:
         yield {"kind": "gap", "start": gap, "stop": len(raw), "why": why}
+        yield from ({"kind": "record", "start": gap, "stop": len(raw), **record} for record in read)
 
 
 def _salvage_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"file": pa.string(), "start": pa.int64(), "stop": pa.int64(), "kind": pa.string(), "record_type": pa.string(), "record_id": pa.string(), "refers_to": pa.string(), "payload_digest": pa.string(), "payload": pa.binary(), "why": pa.string()}
+    kinds = {"file": pa.string(), "start": pa.int64(), "stop": pa.int64(), "inner_start": pa.int64(), "inner_stop": pa.int64(), "kind": pa.string(), "record_type": pa.string(), "record_id": pa.string(), "refers_to": pa.string(), "payload_digest": pa.string(), "payload": pa.binary(), "why": pa.string()}
     schema = pa.schema(list(kinds.items()))
     for batch in batches:
         for path, content in zip(batch.column(0), batch.column(1), strict=True):
@@ -243,13 +313,19 @@ def _salvage_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """Records and gaps of all files below path (see RECORDS). A task holds a file at a time; files over Spark's
-    spark.sql.sources.binaryFile.maxLength are refused."""
+    """Records and gaps of all files below path (see RECORDS and salvage). A task holds as many files at a time as fit
+    into spark.sql.execution.arrow.maxBytesPerBatch, or a larger one; Spark refuses files over
+    spark.sql.sources.binaryFile.maxLength."""
     ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_salvage_files, RECORDS)
 
 
+def quarantined(records: DataFrame) -> DataFrame:
+    """The log of byte gaps: file, start, stop, inner_start, inner_stop (within a member, else null), why."""
+    return records.filter("kind = 'gap'").select("file", "start", "stop", "inner_start", "inner_stop", "why")
+
+
 def resolved(records: DataFrame) -> DataFrame:
     """Each page's record with its full payload's length and digest, revisits taking them from what they refer to:
     page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit whose record was lost keeps the
