@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from test_classifiers import twins
+
 from ledgerfold.llm import near_dedup as module
 from ledgerfold.llm.bagminhash import bags, shingles, signatures, weighted_jaccard
 from ledgerfold.llm.components import components
@@ -60,11 +62,12 @@ def corpus(seed, groups=6, copies=40, words=120):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_classes_are_those_of_all_pairs(spark, monkeypatch, seed):
+@pytest.mark.parametrize("margin", [module.MARGIN, 1.0])
+def test_classes_are_those_of_all_pairs(spark, monkeypatch, seed, margin):
     rows = corpus(seed)
     monkeypatch.setattr(module, "BLOCK", 7)
     docs = spark.createDataFrame([(k, t, k) for k, t in rows], "doc_id long, text string, component long").repartition(5)
-    got = {r.doc_id: r.class_id for r in near_dedup(docs).collect()}
+    got = {r.doc_id: r.class_id for r in near_dedup(docs, margin=margin).collect()}
     assert got == brute(rows)
 
 
@@ -76,6 +79,26 @@ def test_nulls_repeats_and_empty_tables(spark):
     assert near_dedup(docs.limit(0)).count() == 0
 
 
+def test_rows_are_known_by_their_texts(spark):
+    a, b = twins(11)
+    rows = [(1, f"{a} q r s t"), (2, f"{b} q r s t"), (3, "x y z u v w"), (3, "one two three four five"), (4, "one two three four five"), (2, "X Y  z u v w")]
+    rows += [(None, "only nulls have this one"), (None, "Only nulls have this  one"), (None, None), (6, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.class_id, r.kept) for r in near_dedup(docs).collect())
+    assert got == Counter([(1, 1, True), (2, 2, True), (3, 2, False), (2, 2, True), (3, 3, True), (4, 3, False), (None, None, True), (None, None, False), (None, 6, False), (6, 6, True)])
+    keyed = near_dedup(docs, with_text_hash=True)
+    assert keyed.columns == ["doc_id", "text_hash", "class_id", "kept"] and keyed.count() == len(rows)
+
+
+def test_large_weights_cost_their_points():
+    rng = np.random.default_rng(5)
+    e = rng.integers(0, 1 << 52, 3).astype(np.uint64)
+    owner, weight = np.repeat([0, 1], 3), np.array([1_000_000, 3, 700, 600_000, 3, 700])
+    s = signatures(owner, np.concatenate([e, e]), weight, 2, 4096)
+    j = (600_000 + 703) / (1_000_000 + 703)
+    assert abs((s[0] == s[1]).mean() - j) < 4 * np.sqrt(j * (1 - j) / 4096)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(3)
     for _ in range(4):
