@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from ..errors import InvalidInput
 LOCAL_SHARED = "file:///tmp/checkpoints"
 
 _written: list[tuple[SparkSession, str]] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _shipped: set[str] = set()
 _files: dict[tuple[str, str], str] = {}
 
@@ -51,15 +53,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes tables that `written` made. Nothing that is still to be computed may read them."""
+    for frame in frames:
+        path = _path_of.pop(frame)
+        _delete(frame.sparkSession, path)
+        _written.remove((frame.sparkSession, path))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 @atexit.register
 def _delete_scratch() -> None:
     for spark, path in _written:
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: the folder is left to its owner
             return
 

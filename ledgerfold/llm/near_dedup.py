@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import bags, shingles, signatures, weighted_jaccard
-from .common import ship, written
+from .common import release, ship, written
 from .components import components
 from .textarrays import mix, slices, text_bytes
 
@@ -205,6 +205,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = stars.join(held.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b")
     links = written(pairs.mapInArrow(_linked(threshold), "a long, b long"), "near-stars")
     first = components(links)
+    release(shared, wanted, links)
 
     # Buckets of several classes: the rows outside the largest class against all rows, in blocks.
     label = F.coalesce("component", "node").alias("component")
@@ -223,6 +224,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = blocks.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     more = blocks.select("bucket", "i", "j", *_BLOCK_COLUMNS).mapInArrow(_blocks(threshold, margin), "a long, b long")
     more = written(more, "near-blocks")
+    release(in_bucket, held, classed, described)
 
     # The new links join classes; what they join is few.
     class_of = lambda side: first.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
