@@ -41,10 +41,10 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near copies. Documents without an id stay if one of them is
-    no copy of a document that has one."""
-    kept = near_dedup(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    """The document with the least id of each class of near copies; of a class without ids, one. Rows that repeat both id
+    and text are one document and stay together."""
+    kept = near_dedup(docs, with_text_hash=True).filter("kept").select(F.col("doc_id").alias("__kept"), F.col("text_hash").alias("__text_hash")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]) & (F.xxhash64(docs["text"]) == kept["__text_hash"]), "left_semi")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
