@@ -39,3 +39,27 @@ def too_long(rows: DataFrame, most_key: int = 4096, most_value: int = 1 << 20) -
     """Rows of (key, value) as bytes whose key or value is longer than allowed: key, key_bytes, value_bytes."""
     sizes = rows.select("key", F.octet_length("key").cast("long").alias("key_bytes"), F.coalesce(F.octet_length("value"), F.lit(0)).cast("long").alias("value_bytes"))
     return sizes.filter((F.col("key_bytes") > most_key) | (F.col("value_bytes") > most_value))
+
+
+def require_range(engine: Mapping[str, str]) -> None:
+    """Raises, with the engine's name, unless it reads ordered ranges: before any plan is made."""
+    if engine["ordered_range"] != "true":
+        raise InvalidInput(_no_range(engine))
+
+
+def _no_range(engine: Mapping[str, str]) -> str:
+    return f"engine {engine['name']} does not expose ordered range scans"
+
+
+def range_rejections(steps: DataFrame, engine: Mapping[str, str]) -> DataFrame:
+    """Steps (step, op, start, end) that ask an engine for a range that it rejects: step, reason. All of them if it doesn't
+    read ordered ranges, else those that end before they start. A null end is no bound."""
+    ranges = steps.filter("op = 'range_scan'")
+    if engine["ordered_range"] != "true":
+        return ranges.select("step", F.lit(_no_range(engine)).alias("reason"))
+    return ranges.filter("`end` < start").select("step", F.lit("range end is before its start").alias("reason"))
+
+
+def blank(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose text is null, empty or white space alone."""
+    return rows.filter(F.coalesce(F.length(F.btrim(column, F.lit(" \t\n\x0b\x0c\r"))), F.lit(0)) == 0)

@@ -56,17 +56,25 @@ def sidecar_duplicates(sidecars: DataFrame) -> DataFrame:
     return sidecars.groupBy("pair_index").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def distribution(samples: DataFrame, groups: list[str], value: str = "duration") -> DataFrame:
+def distribution(samples: DataFrame, groups: list[str], value: str = "duration", slice_values: int = 1 << 16) -> DataFrame:
     """samples, min, p50, p95, max by groups, percentiles by nearest rank in integers.
 
-    Equal values are counted before they are ranked, so a window's rows are a group's distinct values.
+    Equal values are counted first, then summed by slices of slice_values values. A window over a group has a row for each
+    slice that has values, and one over a slice its distinct values, so no task ranks all values of a group.
     """
     counted = samples.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("__slice", F.expr(f"`{value}` div {slice_values}"))
     by = Window.partitionBy(*groups)
-    upto = by.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counted.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(by))
+    before = by.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counted.groupBy(*groups, "__slice").agg(F.sum("n").alias("__n"))
+    sums = sums.select(*[F.col(g).alias(f"__of_{g}") for g in groups], F.col("__slice").alias("__of_slice"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(by).alias("total"))
+    same = F.col("__slice") == F.col("__of_slice")
+    for g in groups:
+        same &= counted[g].eqNullSafe(sums[f"__of_{g}"])
+    upto = Window.partitionBy(*groups, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.join(sums, same).withColumn("upto", F.col("__before") + F.sum("n").over(upto))
     at = lambda p: F.min(F.when(F.col("upto") >= nearest_rank(F.col("total"), p), F.col(value)))
-    return ranked.groupBy(*groups).agg(F.max("total").alias("samples"), F.min(value).alias("min"), at(50).alias("p50"), at(95).alias("p95"), F.max(value).alias("max"))
+    return placed.groupBy(*groups).agg(F.max("total").alias("samples"), F.min(value).alias("min"), at(50).alias("p50"), at(95).alias("p95"), F.max(value).alias("max"))
 
 
 def stratified(samples: DataFrame) -> DataFrame:
@@ -89,3 +97,23 @@ def projection_mismatches(timings: DataFrame) -> DataFrame:
 def complete_pairs(ledger: DataFrame) -> DataFrame:
     """The repetitions of included pairs: pair_index, repetition, duration."""
     return ledger.filter("disposition = 'included'").select("pair_index", F.posexplode(F.array("first", "second")).alias("repetition", "duration"))
+
+
+def failed_pair_evidence(sidecars: DataFrame) -> DataFrame:
+    """What failed pairs (pair_index, completed_first, failing_prefix: arrays of (operation, duration), null if there is
+    none; failure: (operation, duration, error_class)) leave as evidence, kept apart by selection: selection, pair_index,
+    place, operation, duration, error_class."""
+    none = F.lit(None).cast("string").alias("error_class")
+    listed = lambda c: sidecars.select(F.lit(c).alias("selection"), "pair_index", F.posexplode(c).alias("place", "x")).select("selection", "pair_index", F.col("place").cast("long").alias("place"), "x.operation", "x.duration", none)
+    failed = sidecars.filter("failure IS NOT NULL").select(F.lit("failure").alias("selection"), "pair_index", F.lit(0).cast("long").alias("place"), "failure.operation", "failure.duration", "failure.error_class")
+    return listed("completed_first").unionByName(listed("failing_prefix")).unionByName(failed)
+
+
+def step_association(samples: DataFrame, steps: DataFrame) -> DataFrame:
+    """By operation, how many samples (operation, step) belong to a measured step of steps (phase, step), carry no step
+    (they were taken while nothing was measured), or carry one that isn't measured: operation, measured, without_step,
+    unknown_step."""
+    measured = steps.filter("phase = 'measured'").select(F.col("step").alias("of_step")).distinct()
+    found = samples.join(measured, F.col("step") == F.col("of_step"), "left")
+    unknown = F.col("step").isNotNull() & F.col("of_step").isNull()
+    return found.groupBy("operation").agg(F.count_if(F.col("of_step").isNotNull()).alias("measured"), F.count_if(F.col("step").isNull()).alias("without_step"), F.count_if(unknown).alias("unknown_step"))

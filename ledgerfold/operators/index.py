@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
-from .relational import Predicate, Table, _some
+from .relational import Predicate, Table, _some, table_after
 
 
 class IndexedTable:
-    """A table with sorted copies by column. They hold the rows of the time when they were made; `refreshed` makes them anew."""
+    """A table with sorted copies by column. They hold the rows of the time when they were made; `committed` adds what a
+    batch of operations changes, and `refreshed` makes them anew."""
 
-    def __init__(self, table: Table, folder: str):
-        self.table, self.folder, self.copies = table, folder.rstrip("/"), {}
+    def __init__(self, table: Table, folder: str, generation: int = 0):
+        self.table, self.folder, self.copies, self.generation = table, folder.rstrip("/"), {}, generation
 
     def add(self, column: str) -> IndexedTable:
         """Writes a copy that is range-partitioned and sorted by the column, then the key."""
@@ -23,17 +24,28 @@ class IndexedTable:
         if column in self.copies:
             raise InvalidInput(f"{self.table.name} has an index on {column}")
         key = self.table.schema.key
-        path = f"{self.folder}/{self.table.name}-by-{column}"
+        path = f"{self.folder}/{self.table.name}-by-{column}-{self.generation}"
         self.table.rows.repartitionByRange(column, key).sortWithinPartitions(column, key).write.mode("overwrite").parquet(path)
         self.copies[column] = self.table.rows.sparkSession.read.schema(self.table.rows.schema).parquet(path)
         return self
 
     def refreshed(self, table: Table) -> IndexedTable:
-        out = IndexedTable(table, f"{self.folder}/next")
+        """The copies of another state of the table, written beside these."""
+        out = IndexedTable(table, self.folder, self.generation + 1)
         for column in self.copies:
             out.add(column)
         return out
 
+    def committed(self, ops: DataFrame) -> IndexedTable:
+        """The table and its copies after ordered operations (see table_after), without writing a copy: what a copy held of
+        the changed keys is left out, and the keys' new rows are added. Filters still reach the sorted copies' files."""
+        schema = self.table.schema
+        changed, new = ops.select(schema.key).distinct(), table_after(ops, schema)
+        after = lambda rows: rows.join(changed, schema.key, "left_anti").select(*new.columns).unionByName(new)
+        out = IndexedTable(Table(self.table.name, schema, after(self.table.rows)), self.folder, self.generation)
+        out.copies = {column: after(rows) for column, rows in self.copies.items()}
+        return out
+
     def access_path(self, where: Sequence[Predicate]) -> str:
         """'index <column>' for the first predicate in order whose column has a copy, else 'scan'."""
         return next((f"index {p.column}" for p in where if p.column in self.copies), "scan")

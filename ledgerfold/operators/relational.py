@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
+from .temporal import ranked
 
 TYPES = {"int64": "bigint", "text": "string"}
-MOST_COLUMNS, MOST_NAME_BYTES, MOST_TEXT_BYTES = 64, 255, 65_535
+MOST_COLUMNS, MOST_NAME_BYTES, MOST_TEXT_BYTES, MOST_OPS = 64, 255, 65_535, 1024
 COMPARE = {"eq": operator.eq, "lt": operator.lt, "le": operator.le, "gt": operator.gt, "ge": operator.ge}
 
 
@@ -149,6 +150,38 @@ def table_after(ops: DataFrame, schema: Schema) -> DataFrame:
     return last.filter("last.op = 'upsert'").select(*[F.col(c) if c == schema.key else F.col(f"last.{c}") for c, _ in schema.columns])
 
 
+def commit_outcomes(batches: DataFrame, ops: DataFrame, schema: Schema, first_tx: int = 1) -> DataFrame:
+    """What becomes of batches (batch, a distinct long) of operations (batch, seq, op and the schema's columns): batch,
+    tx_id, reason.
+
+    A batch of 1 to MOST_OPS operations that are all valid commits as a whole and takes the next id in batch order; any
+    other is rejected as a whole, with the reason of its first bad operation, and takes none.
+    """
+    null = reduce(operator.or_, [F.col(c).isNull() for c, _ in schema.columns])
+    long = reduce(operator.or_, [F.octet_length(c) > MOST_TEXT_BYTES for c, kind in schema.columns if kind == "text"], F.lit(False))
+    bad = (
+        F.when(~F.coalesce(F.col("op").isin("upsert", "delete"), F.lit(False)), "unknown operation")
+        .when(F.col(schema.key).isNull(), "no key")
+        .when((F.col("op") == "upsert") & null, "null")
+        .when((F.col("op") == "upsert") & long, "text too long")
+    )
+    judged = ops.withColumn("bad", bad).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min_by("bad", F.when(F.col("bad").isNotNull(), F.col("seq"))).alias("bad"))
+    n = F.coalesce("n", F.lit(0))
+    all_ = batches.select("batch").join(judged, "batch", "left").select("batch", F.when(n == 0, "no operations").when(n > MOST_OPS, "too many operations").otherwise(F.col("bad")).alias("reason"))
+    accepted = ranked(all_.filter("reason IS NULL").select("batch"), "batch").select("batch", (F.col("__rank") + first_tx).alias("tx_id"))
+    return all_.join(accepted, "batch", "left").select("batch", "tx_id", "reason")
+
+
+def committed(ops: DataFrame, outcomes: DataFrame, schema: Schema) -> DataFrame:
+    """The table's rows after all batches that commit: see commit_outcomes and table_after."""
+    return table_after(ops.join(outcomes.filter("tx_id IS NOT NULL").select("batch"), "batch", "left_semi"), schema)
+
+
+def in_order(rows: DataFrame, key: str) -> DataFrame:
+    """rows with ord, their place in key order (from 0), for a long key that is unique."""
+    return ranked(rows, key).withColumnRenamed("__rank", "ord")
+
+
 def catalogue_rows(tables: Sequence[Table], spark) -> DataFrame:
     rows = [(t.name, k, c, kind, c == t.schema.key) for t in sorted(tables, key=lambda t: t.name) for k, (c, kind) in enumerate(t.schema.columns)]
     return spark.createDataFrame(rows, "table string, ord int, column string, type string, is_key boolean")

@@ -6,10 +6,10 @@ decoded; they are not device reads.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .temporal import SLICE, newest, value_bytes
+from .temporal import SLICE, newest, ranked, value_bytes
 
 
 def cut(log: DataFrame, width: int) -> DataFrame:
@@ -28,12 +28,9 @@ def point_consults(runs: DataFrame, keys: DataFrame, slice_ids: int = SLICE) ->
 
     Runs are numbered within slices of slice_ids ids, and the slices' counts are added up, so no task numbers all.
     """
-    ids = runs.select("run_id").distinct().withColumn("__slice", F.expr(f"run_id div {slice_ids}"))
+    ids = runs.select("run_id").distinct()
     holds = keys.join(runs.groupBy("key").agg(F.max("run_id").alias("newest")), "key", "left")
-    within = F.row_number().over(Window.partitionBy("__slice").orderBy(F.desc("run_id"))).cast("long")
-    above = Window.orderBy(F.desc("__slice")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each slice
-    newer_slices = ids.groupBy("__slice").agg(F.count(F.lit(1)).alias("n")).select("__slice", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("__newer"))
-    newer = ids.withColumn("__n", within).join(newer_slices, "__slice").select(F.col("run_id").alias("newest"), (F.col("__n") + F.col("__newer")).alias("n"))
+    newer = ranked(ids, "run_id", slice_ids, descending=True).select(F.col("run_id").alias("newest"), (F.col("__rank") + 1).alias("n"))
     total = ids.agg(F.count(F.lit(1))).scalar()
     return holds.join(newer, "newest", "left").select("key", F.coalesce("n", total).alias("consults"))
 

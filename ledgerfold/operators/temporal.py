@@ -13,6 +13,8 @@ from ..errors import InvalidInput
 
 #: How many steps a window over one key spans at most.
 SLICE = 1 << 20
+#: Sequence numbers in a slice of prefix_proof, and slices in a slice of slices, twice; 2 ** 44 rows leave 2 ** 8 of them.
+PROOF_SLICES = (1 << 12, 1 << 12, 1 << 12)
 
 
 def newest(log: DataFrame, *keys: str) -> DataFrame:
@@ -28,6 +30,7 @@ def fold(log: DataFrame) -> DataFrame:
 
 def last_before(rows: DataFrame, key: str, order: str, payload: Column, name: str, slice_rows: int = SLICE) -> DataFrame:
     """rows with `name`: the payload of the key's latest earlier row (by the unique long `order`) whose payload isn't null.
+    A null key is a key like any other.
 
     A window over a whole key would put a hot key into one task. Windows here span (key, slice of order), which has
     slice_rows rows at most; what a slice begins with comes from the slices' last payloads.
@@ -35,11 +38,24 @@ def last_before(rows: DataFrame, key: str, order: str, payload: Column, name: st
     sliced = rows.withColumn("__payload", payload).withColumn("__slice", F.expr(f"`{order}` div {slice_rows}"))
     within = Window.partitionBy(key, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     near = sliced.withColumn("__near", F.last("__payload", ignorenulls=True).over(within))
-    ends = sliced.filter(F.col("__payload").isNotNull()).groupBy(key, "__slice").agg(F.max_by("__payload", order).alias("__end"))
-    of_slices = sliced.select(key, "__slice").distinct().join(ends, [key, "__slice"], "left")
+    # Rows without a payload have no order here, so a slice of such rows alone is there with a null.
+    ends = sliced.groupBy(key, "__slice").agg(F.max_by("__payload", F.when(F.col("__payload").isNotNull(), F.col(order))).alias("__end"))
     across = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = of_slices.select(key, "__slice", F.last("__end", ignorenulls=True).over(across).alias("__carried"))
-    return near.join(carried, [key, "__slice"]).select(*rows.columns, F.coalesce("__near", "__carried").alias(name))
+    carried = ends.select(F.col(key).alias("__of_key"), F.col("__slice").alias("__of_slice"), F.last("__end", ignorenulls=True).over(across).alias("__carried"))
+    found = near.join(carried, near[key].eqNullSafe(carried["__of_key"]) & (near["__slice"] == carried["__of_slice"]))
+    return found.select(*rows.columns, F.coalesce("__near", "__carried").alias(name))
+
+
+def ranked(rows: DataFrame, column: str, slice_ids: int = SLICE, descending: bool = False) -> DataFrame:
+    """rows with __rank: the place (from 0) of each among all, by a distinct long. Rows are ranked within slices of
+    slice_ids values, and the slices' counts are added up, so no task sees all rows: one window has a row for each slice."""
+    by = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
+    sliced = rows.withColumn("__slice", F.expr(f"`{column}` div {slice_ids}"))
+    counted = sliced.groupBy("__slice").agg(F.count(F.lit(1)).alias("__n"))
+    above = Window.orderBy(by("__slice")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.select("__slice", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__slice").orderBy(by(column))) - 1
+    return sliced.withColumn("__own", own).join(before, "__slice").select(*rows.columns, (F.col("__own") + F.col("__before")).alias("__rank"))
 
 
 def previous_values(log: DataFrame, slice_rows: int = SLICE) -> DataFrame:
@@ -89,19 +105,36 @@ def versions(log: DataFrame) -> DataFrame:
     return found.select("key", "kind", "val", F.col("seq").alias("valid_from"), "valid_to")
 
 
-def range_as_of(log: DataFrame, ranges: DataFrame, width: int, slice_rows: int = SLICE) -> DataFrame:
+def _blocks_of_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges (step, start, end, limit) as dyadic blocks: level, block (the keys from block * 2 ** level on, 2 ** level of
+    them). A range is at most two blocks a level, however long it is."""
+    levels = F.sequence(F.lit(0), F.lit(61))
+    spread = ranges.withColumn("__l", F.explode(levels))
+    spread = spread.withColumn("__first", -F.expr("shiftright(-start, __l)")).withColumn("__stop", F.expr("shiftright(`end`, __l)")).filter("__first < __stop")
+    odd = lambda c: F.pmod(F.col(c), F.lit(2)) == 1
+    blocks = F.array_compact(F.array(F.when(odd("__first"), F.col("__first")), F.when(odd("__stop"), F.col("__stop") - 1)))
+    return spread.select("step", "limit", F.col("__l").alias("level"), F.explode(blocks).alias("block"))
+
+
+def range_as_of(log: DataFrame, ranges: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """Range reads (step, start, end, limit) as of their steps, before a mutation of the same step: step, rn, key, val.
 
-    Keys are longs, not negative. Ranges and distinct keys meet by equality on key buckets of `width`, so no cross join is
-    planned and a hot key counts once a step; each key is then read as of the step as get_as_of does. The best `limit`
-    rows of a step are kept by a window over that step's rows alone.
+    Keys are longs between -2 ** 61 and 2 ** 61; a null key is in no range. A null start or end is no bound. Ranges are cut
+    into dyadic blocks and meet the distinct keys by equality on these, each key in the one block of a level that holds
+    it: no cross join, nothing beside the matching pairs, and a long range is few blocks. Each key is then read as of the
+    step as get_as_of does. The best `limit` rows of a step are kept by a window over that step's rows alone.
     """
-    first, last = F.expr(f"start div {width}"), F.expr(f"(`end` - 1) div {width}")
-    asked = ranges.filter("start < end AND limit > 0").withColumn("bucket", F.explode(F.sequence(first, last)))
-    keys = log.select("key", F.expr(f"key div {width}").alias("bucket")).distinct()
-    pairs = asked.join(keys, "bucket").filter((F.col("key") >= F.col("start")) & (F.col("key") < F.col("end")))
-    reads = pairs.select((F.col("step") * 2).alias("at"), "key", F.lit(None).cast("string").alias("kind"), F.lit(None).cast(log.schema["val"].dataType).alias("val"), "limit")
-    both = log.select((F.col("seq") * 2 + 1).alias("at"), "key", "kind", "val", F.lit(None).cast(ranges.schema["limit"].dataType).alias("limit")).unionByName(reads)
+    keys = log.select("key").filter("key IS NOT NULL").distinct()
+    least, most = (F.coalesce(keys.agg(f("key")).scalar(), F.lit(0)) for f in (F.min, F.max))
+    # Bounds beyond the keys are drawn in, so that no level above the keys' own spread is needed.
+    bounded = ranges.withColumn("start", F.greatest(F.coalesce("start", least), least)).withColumn("end", F.least(F.coalesce("end", most + 1), most + 1))
+    asked = _blocks_of_ranges(bounded.filter("start < `end` AND limit > 0"))
+    top = F.coalesce(asked.agg(F.max("level")).scalar(), F.lit(0))
+    in_blocks = keys.withColumn("level", F.explode(F.sequence(F.lit(0), top))).withColumn("block", F.expr("shiftright(key, level)"))
+    pairs = asked.join(in_blocks, ["level", "block"])
+    val = log.schema["val"].dataType
+    reads = pairs.select((F.col("step") * 2).alias("at"), "key", F.lit(None).cast("string").alias("kind"), F.lit(None).cast(val).alias("val"), "limit")
+    both = log.filter("key IS NOT NULL").select((F.col("seq") * 2 + 1).alias("at"), "key", "kind", "val", F.lit(None).cast(ranges.schema["limit"].dataType).alias("limit")).unionByName(reads)
     seen = last_before(both, "key", "at", F.when(F.col("kind").isNotNull(), F.struct("kind", "val")), "__last", slice_rows)
     found = seen.filter((F.col("kind").isNull()) & (F.col("__last")["kind"] == "put")).select(F.expr("at div 2").alias("step"), "key", F.col("__last")["val"].alias("val"), "limit")
     rn = F.row_number().over(Window.partitionBy("step").orderBy("key")).cast("long")
@@ -125,12 +158,32 @@ def outcomes(log: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def first_mismatch(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The first step whose outcomes (step, present, prev_val) differ or exist on one side only: one row, or none."""
-    values = [c for c in left.columns if c != "step"]
-    a = left.select("step", F.struct(*values).alias("a"))
-    b = right.select("step", F.struct(*values).alias("b"))
-    unlike = a.join(b, "step", "full").filter(~F.col("a").eqNullSafe(F.col("b")))
-    return unlike.agg(F.min("step").alias("step")).filter("step IS NOT NULL")
+    """The first step whose outcomes (step, present, prev_val) differ or exist on one side only: one row, or none. With
+    a column phase, setup comes before measured: phase, step."""
+    keys = [c for c in ("phase", "step") if c in left.columns]
+    values = [c for c in left.columns if c not in keys]
+    a = left.select(*keys, F.struct(*values).alias("a"))
+    b = right.select(*keys, F.struct(*values).alias("b"))
+    unlike = a.join(b, keys, "full").filter(~F.col("a").eqNullSafe(F.col("b")))
+    if keys == ["step"]:
+        return unlike.agg(F.min("step").alias("step")).filter("step IS NOT NULL")
+    first = unlike.agg(F.min(F.struct((F.col("phase") != "setup").alias("later"), "step", "phase")).alias("first"))
+    return first.filter("first IS NOT NULL").select("first.phase", "first.step")
+
+
+def trace_outcomes(steps: DataFrame) -> DataFrame:
+    """What every step of a trace (phase, step, op, key, val, start, end, limit) observes, setup before measured: phase,
+    step, result, present, val, rows. rows are a range scan's, as key=val in key order; other steps have none."""
+    setup = F.coalesce(steps.filter("phase = 'setup'").agg(F.max("step") + 1).scalar(), F.lit(0))
+    at = F.col("step") + F.when(F.col("phase") == "setup", 0).otherwise(setup)
+    own = steps.withColumn("own", F.col("step")).withColumn("step", at)
+    points = outcomes(None, own.filter("op <> 'range_scan'").select("step", "op", "key", "val")).withColumn("rows", F.lit(None).cast("string"))
+    log = own.filter("op IN ('put', 'delete')").select(F.col("step").alias("seq"), "key", F.col("op").alias("kind"), "val")
+    ranges = own.filter("op = 'range_scan'").select("step", "start", "end", "limit")
+    found = range_as_of(log, ranges).groupBy("step").agg(F.array_sort(F.collect_list(F.struct("rn", "key", "val"))).alias("found"))  # `limit` rows a step
+    listed = F.array_join(F.transform("found", lambda x: F.concat(x["key"].cast("string"), F.lit("="), F.coalesce(x["val"].cast("string"), F.lit("-")))), ",")
+    scans = ranges.join(found, "step", "left").select("step", F.lit("range").alias("result"), F.lit(False).alias("present"), F.lit(None).cast(log.schema["val"].dataType).alias("val"), F.coalesce(listed, F.lit("")).alias("rows"))
+    return own.select("phase", "own", "step").join(points.unionByName(scans), "step").select("phase", F.col("own").alias("step"), "result", "present", "val", "rows")
 
 
 def gaps(log: DataFrame) -> DataFrame:
@@ -146,12 +199,23 @@ def verify(log: DataFrame) -> DataFrame:
     return per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("record_count"), live.alias("live_keys"), (F.max("seq") + 1).alias("next_sequence"))
 
 
-def prefix_proof(log: DataFrame, next_sequence: int) -> DataFrame:
-    """What a log held before a sequence number: record_count, next_sequence, checksum (of all rows, in any order).
-    Two logs agree on that prefix if the three numbers do."""
-    row = F.crc32(F.to_json(F.struct("seq", "key", "kind", "val"), {"ignoreNullFields": "false"}).cast("binary"))
+def prefix_proof(log: DataFrame, next_sequence: int | Column) -> DataFrame:
+    """What a log held before a sequence number: record_count, next_sequence, digest. Two logs agree on that prefix if the
+    three do.
+
+    The digest is SHA-256 over the rows in order, by slices: of PROOF_SLICES[0] sequence numbers, then of so many slices,
+    then of all. No task holds more than a slice's rows or digests.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
     prefix = log.filter(F.col("seq") < next_sequence)
-    return prefix.agg(F.count(F.lit(1)).alias("record_count"), (F.max("seq") + 1).alias("next_sequence"), F.sum(row * (F.pmod("seq", F.lit(65_521)) + 1)).alias("checksum"))
+    rows = prefix.select(F.col("seq").alias("at"), F.concat_ws("|", *map(text, ("seq", "key", "kind", "val"))).alias("held"))
+    counts = prefix.agg(F.count(F.lit(1)).alias("record_count"), (F.max("seq") + 1).alias("next_sequence"))
+    for size in PROOF_SLICES:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "held"))), lambda x: x["held"])
+        by_slice = rows.groupBy(F.expr(f"at div {size}").alias("at")).agg(F.array_join(ordered, "\n").alias("held"))
+        rows = by_slice.select("at", F.sha2("held", 256).alias("held"))
+    whole = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "held"))), lambda x: x["held"]), "\n").alias("held"))
+    return counts.select("record_count", "next_sequence", F.lit(whole.select(F.sha2("held", 256)).scalar()).alias("digest"))
 
 
 def value_bytes(val: Column) -> Column:

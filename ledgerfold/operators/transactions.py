@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .temporal import last_before
 
 
 def batch_previous(log: DataFrame) -> DataFrame:
-    """What each mutation of a batch replaces within its batch: tx, seq, key, present, prev_val. Batches are bounded
-    (1024 mutations), so a window over one batch's key is."""
-    earlier = Window.partitionBy("tx", "key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.struct("kind", "val")).over(earlier)
-    present = F.coalesce(last["kind"] == "put", F.lit(False))
-    return log.select("tx", "seq", "key", present.alias("present"), F.when(present, last["val"]).alias("prev_val"))
+    """What each mutation of a batch replaces, in the state before the batch or by an earlier mutation of it: tx, seq, key,
+    present, prev_val. Batches follow each other in the log, so that is what the log's mutations replace."""
+    last = last_before(log, "key", "seq", F.struct("kind", "val"), "__last")
+    present = F.coalesce(F.col("__last")["kind"] == "put", F.lit(False))
+    return last.select("tx", "seq", "key", present.alias("present"), F.when(present, F.col("__last")["val"]).alias("prev_val"))
 
 
 def row_versions(log: DataFrame) -> DataFrame:

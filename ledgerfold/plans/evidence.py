@@ -32,7 +32,44 @@ def _versions(s, d):
     return read(s, d, "events").select(n.alias("version"), durable.alias("durable"), gc.alias("gc"), (n % 4).alias("fresh"), F.when(n % 332 == 0, 2).when(n % 8 == 0, 0).otherwise(1).alias("merged"))
 
 
+def _failed(s, d):
+    """Failed pairs' sidecars: some completed their first repetition, and each failed after a prefix of up to two."""
+    pairs, n = ledger(s, d).filter("disposition = 'failed'"), F.col("pair_index")
+    done = lambda k: F.struct(F.lit("put").alias("operation"), (F.col("first") + k).alias("duration"))
+    return pairs.select(
+        "pair_index", F.when(n % 2 == 0, F.array(done(0), done(1))).alias("completed_first"), F.slice(F.array(done(10), done(20)), 1, (n % 3).cast("int")).alias("failing_prefix"),
+        F.when(n % 5 != 0, F.struct(F.lit("get").alias("operation"), F.col("first").alias("duration"), F.lit("io").alias("error_class"))).alias("failure"),
+    )
+
+
+def _projections(s, d):
+    """Durations and samples of a hundred events each, of which some differ and every tenth list lacks its last sample."""
+    val = F.round(F.col("value") * 100).cast("long")
+    seen = F.struct(F.col("event_id").alias("at"), val.alias("plain"), (val + F.when(F.col("event_id") % 97 == 5, 1).otherwise(0)).alias("duration"))
+    lists = read(s, d, "events").groupBy(F.expr("event_id div 100").alias("id")).agg(F.array_sort(F.collect_list(seen)).alias("x"))
+    samples = F.transform("x", lambda x: F.struct(x["duration"].alias("duration")))
+    return lists.select("id", F.col("x.plain").alias("durations"), F.when(F.col("id") % 10 == 3, F.slice(samples, F.lit(1), F.size("x") - 1)).otherwise(samples).alias("samples"))
+
+
+def _broken_ledger(s, d):
+    """Pairs that are there twice, missing, of no known disposition, or included without a duration."""
+    pairs, n = ledger(s, d), F.col("pair_index")
+    own = pairs.filter(n % 300 != 7).withColumn("disposition", F.when(n % 300 == 9, "lost").otherwise(F.col("disposition"))).withColumn("second", F.when(n % 300 != 11, F.col("second")))
+    return own.unionByName(pairs.filter(n % 300 == 13))
+
+
+def _listing_ahead(s, d):
+    """The listing with markers in its first half alone, so that logs are ahead of the newest one."""
+    rows = listing(s, d)
+    half = rows.agg(F.expr("max(id) div 2")).scalar()
+    return rows.filter(~((F.col("kind") == "marker") & (F.col("id") > half)))
+
+
 QUERIES = {
+    "failed_pair_evidence": lambda s, d: E.failed_pair_evidence(_failed(s, d)),
+    "projection_mismatches": lambda s, d: E.projection_mismatches(_projections(s, d)).withColumn("place", F.col("place").cast("long")),
+    "ledger_violations_of_each_kind": lambda s, d: E.ledger_violations(_broken_ledger(s, d), 1),
+    "gen_orphans_ahead": lambda s, d: G.orphans(_listing_ahead(s, d)),
     "manifest_violations": lambda s, d: G.manifest_violations(_versions(s, d)),
     "ledger_counts": lambda s, d: E.ledger_counts(ledger(s, d)),
     "ledger_order": lambda s, d: E.expected_order(ledger(s, d), SEED),
@@ -53,6 +90,16 @@ QUERIES = {
 }
 
 SQL = {
+    "failed_pair_evidence": f"""WITH {LEDGER}, f AS (SELECT pair_index AS n, first FROM ledger WHERE disposition = 'failed')
+SELECT 'completed_first' AS selection, n AS pair_index, k AS place, 'put' AS operation, first + k AS duration, NULL AS error_class FROM f, range(2) t(k) WHERE n % 2 = 0
+UNION ALL SELECT 'failing_prefix', n, k, 'put', first + 10 + 10 * k, NULL FROM f, range(2) t(k) WHERE k < n % 3
+UNION ALL SELECT 'failure', n, 0, 'get', first, 'io' FROM f WHERE n % 5 <> 0""",
+    "projection_mismatches": """WITH e AS (SELECT event_id, event_id // 100 AS id, row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY event_id // 100) AS n FROM events)
+SELECT id, place FROM e WHERE event_id % 97 = 5 OR (id % 10 = 3 AND place = n - 1)""",
+    "ledger_violations_of_each_kind": f"""WITH {LEDGER}, n AS (SELECT max(pair_index) AS top FROM ledger)
+SELECT pair_index, CASE pair_index % 300 WHEN 9 THEN 'disposition' WHEN 11 THEN 'fields' WHEN 13 THEN 'used twice' ELSE 'hole before' END AS reason FROM ledger
+WHERE pair_index % 300 IN (8, 9, 13) OR (pair_index % 300 = 11 AND disposition = 'included')""",
+    "gen_orphans_ahead": f"WITH {LISTING}, h AS (SELECT max(id) // 2 AS h FROM listing), m AS (SELECT max(id) AS top FROM listing, h WHERE kind = 'marker' AND id <= h) SELECT id FROM listing, m WHERE kind = 'log' AND id > top AND id IN (SELECT id FROM listing WHERE kind = 'reserved')",
     "manifest_violations": """WITH v AS (SELECT event_id AS n, event_id * 200 - CASE WHEN event_id % 500 = 3 THEN 400 ELSE 0 END AS durable, user_id,
   event_id % 4 AS fresh, CASE WHEN event_id % 332 = 0 THEN 2 WHEN event_id % 8 = 0 THEN 0 ELSE 1 END AS merged FROM events),
 w AS (SELECT n, durable, durable - user_id + CASE WHEN n % 700 = 5 THEN 1000 ELSE 0 END AS gc, fresh, merged, lag(durable) OVER (ORDER BY n) AS earlier FROM v),

@@ -28,8 +28,13 @@ STEPS = "phase string, step long, op string, key binary, value binary, start bin
 
 def draws(seed: int, first: int, n: int) -> np.ndarray:
     """Draws first .. first + n - 1 of the seed's sequence."""
+    return draws_at(seed, np.arange(first, first + n))
+
+
+def draws_at(seed: int, at: np.ndarray) -> np.ndarray:
+    """Draws of the seed's sequence at any places."""
     with np.errstate(over="ignore"):
-        z = np.uint64(seed & (1 << 64) - 1) + (np.arange(first + 1, first + n + 1, dtype=np.uint64)) * np.uint64(GAMMA)
+        z = np.uint64(seed & (1 << 64) - 1) + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(GAMMA)
         z = (z ^ (z >> np.uint64(30))) * np.uint64(FIRST)
         z = (z ^ (z >> np.uint64(27))) * np.uint64(SECOND)
         return z ^ (z >> np.uint64(31))
@@ -136,14 +141,15 @@ def trace(spark: SparkSession, config: TraceConfig) -> DataFrame:
 
     def setup(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _frame([{"phase": "setup", "step": k, "op": "put", "key": key_of(ids[k]), "value": _value(config, draws(config.seed, k * fill, fill))} for k in batch["id"]])
+            drawn = draws_at(config.seed, batch["id"].to_numpy()[:, None] * fill + np.arange(fill))
+            yield _frame([{"phase": "setup", "step": k, "op": "put", "key": key_of(ids[k]), "value": _value(config, own)} for k, own in zip(batch["id"], drawn, strict=True)])
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         each, first = _draws_each(config), len(ids) * fill
         for batch in batches:
-            rows = []
-            for k in batch["id"]:
-                rows += _placed(k, operation(config, k, draws(config.seed, first + k * each, each)), every)
+            drawn, rows = draws_at(config.seed, first + batch["id"].to_numpy()[:, None] * each + np.arange(each)), []
+            for k, own in zip(batch["id"], drawn, strict=True):
+                rows += _placed(k, operation(config, k, own), every)
             yield _frame(rows)
 
     steps = spark.range(len(ids)).mapInPandas(setup, STEPS)
@@ -200,6 +206,45 @@ def trace_json(config: TraceConfig, steps: DataFrame) -> str:
     return json.dumps(whole, separators=(",", ":"))
 
 
+def requires_range(steps: DataFrame) -> DataFrame:
+    """One row: whether any step of either phase is a range scan."""
+    return steps.agg(F.coalesce(F.bool_or(F.col("op") == "range_scan"), F.lit(False)).alias("requires_range"))
+
+
+def trace_violations(config: TraceConfig, steps: DataFrame) -> DataFrame:
+    """Where a trace's steps aren't those that its own configuration makes: phase, step, reason. The trace is made again,
+    so a changed, missing or additional step is found; one that is there twice is so as well."""
+    config.checked()
+    values = [c for c in NAMES if c not in ("phase", "step")]
+    of = lambda df, side: df.groupBy("phase", "step").agg(F.count(F.lit(1)).alias(f"n_{side}"), F.min(F.struct(*values)).alias(side))
+    both = of(steps, "own").join(of(trace(steps.sparkSession, config), "made"), ["phase", "step"], "full")
+    reason = F.when(F.col("made").isNull(), "additional").when(F.col("own").isNull(), "missing").when(F.col("n_own") > 1, "used twice").when(~F.col("own").eqNullSafe(F.col("made")), "differs")
+    return both.select("phase", "step", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
+    """Steps of trace files, which trace_json writes: file, profile, seed, generator, phase, step, op, key, value, start,
+    end, limit. Other versions, unknown profiles, a seed or profile that isn't the generator's, bad hex and a trace without
+    measured steps raise. trace_violations tells whether the steps are those of the generator."""
+    from ..functions.codec import unhex_strict
+
+    step = "struct<op string, key string, value string, start string, `end` string, `limit` int>"
+    generator = "struct<seed decimal(20,0), profile string, operations int, key_space int, value_bytes int, range_limit int, reopen_every int>"
+    schema = f"format_version int, profile string, seed decimal(20,0), generator {generator}, setup_steps array<{step}>, measured_steps array<{step}>"
+    whole = spark.read.option("multiLine", "true").schema(schema).json(path).withColumn("file", F.col("_metadata.file_path"))
+    versions = [r[0] for r in whole.select("format_version").distinct().head(2)]
+    if versions != [1]:
+        raise UnsupportedVersion(f"format versions {versions}")
+    own = F.col("seed").eqNullSafe(F.col("generator.seed")) & F.col("profile").eqNullSafe(F.col("generator.profile")) & F.col("profile").isin(*PROFILES)
+    wrong = whole.filter(~F.coalesce(own & (F.size("measured_steps") > 0), F.lit(False))).select("file").head(1)
+    if wrong:
+        raise InvalidInput(f"{wrong[0]['file']}: no generator of its seed and profile, or no measured steps")
+    phases = [whole.select("file", "profile", "seed", "generator", F.lit(p).alias("phase"), F.posexplode(f"{p}_steps").alias("step", "s")) for p in ("setup", "measured")]
+    rows = phases[0].unionByName(phases[1])
+    held = [unhex_strict(F.col(f"s.{c}")).alias(c) for c in ("key", "value", "start", "end")]
+    return rows.select("file", "profile", "seed", "generator", "phase", F.col("step").cast("long").alias("step"), "s.op", *held, "s.limit")
+
+
 def fingerprint(text: str) -> str:
     out = FNV_OFFSET
     for byte in text.encode():

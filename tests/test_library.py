@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerfold import catalogue
 from ledgerfold.errors import InvalidInput, UnsupportedVersion
 from ledgerfold.functions import codec
-from ledgerfold.operators import evidence, generations, runs, temporal, transactions
+from ledgerfold.operators import evidence, generations, relational, runs, temporal, transactions
 from ledgerfold.operators.index import IndexedTable
 from ledgerfold.operators.relational import Predicate as P
 from ledgerfold.operators.relational import Schema, Table, table_after
@@ -45,7 +45,7 @@ def test_versions_are_those_of_a_replay(spark, seed):
     assert got == {k * 10: (k % 12 in history[k * 10], history[k * 10].get(k % 12)) for k in range(40)}
     ranges = spark.createDataFrame([(k * 13, k % 5, k % 5 + 4, 2) for k in range(30)], "step long, start long, end long, limit int")
     want = {(k * 13, i + 1, key, history[k * 13][key]) for k in range(30) for i, key in enumerate(sorted(x for x in history[k * 13] if k % 5 <= x < k % 5 + 4)[:2])}
-    assert {tuple(r) for r in temporal.range_as_of(log, ranges, 3).collect()} == want
+    assert {tuple(r) for r in temporal.range_as_of(log, ranges).collect()} == want
     cut = runs.cut(log, 50)
     assert {r.key: r.val for r in runs.visible(cut).collect()} == state
     steps = spark.createDataFrame([(0, "get", 3, None), (1, "put", 3, 7), (2, "get", 3, None), (3, "reopen", None, None), (4, "delete", 3, None), (5, "get", 3, None)], "step long, op string, key long, val long")
@@ -67,7 +67,7 @@ def test_ranges_of_all_steps_read_a_hot_key_once(spark):
         else:
             state.pop(key, None)
     for slice_rows in (50, 1 << 20):
-        out = temporal.range_as_of(log, ranges, 4, slice_rows)
+        out = temporal.range_as_of(log, ranges, slice_rows)
         assert {tuple(r) for r in out.collect()} == want
     # Steps meet keys, not versions, of which the hot key has hundreds.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
@@ -76,19 +76,23 @@ def test_ranges_of_all_steps_read_a_hot_key_once(spark):
 
 def test_whole_queries_leave_no_step_out(spark):
     steps = {r.event_id for r in spark.read.parquet(f"{SF}/events.parquet").collect()}
-    got = {r.step for r in catalogue.QUERIES["kv_range_asof_all"](spark, SF).collect()}
+    got = {r.step for r in catalogue.QUERIES["bench_flagship"](spark, SF).collect()}
     assert len(got & steps) > 0.9 * len(steps)  # the first steps find nothing
-    some, whole = ({tuple(r) for r in catalogue.QUERIES[name](spark, SF).collect()} for name in ("occ_conflicts", "occ_conflicts_all"))
-    assert some < whole
+    rows = sorted((r.event_id // 10, r.user_id) for r in spark.read.parquet(f"{SF}/events.parquet").collect())
+    touched = {}
+    for tx, key in rows:
+        touched.setdefault(key, set()).add(tx)
+    want = {(tx + 3, key, max(t for t in touched[key] if tx < t < tx + 3)) for tx, key in rows if any(tx < t < tx + 3 for t in touched[key])}
+    assert {(r.tx, r.key, r.version) for r in catalogue.QUERIES["occ_conflicts"](spark, SF).collect()} == want
 
 
 def test_probes_and_reads_grow_with_the_table(spark, tmp_path):
     rows = [(k, k * 7 % 400, "error" if k % 5 == 0 else "view", float(k)) for k in range(1200)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
-    probed = {r.key: r.consults for r in catalogue.QUERIES["run_point_consults_all"](spark, str(tmp_path)).collect()}
+    probed = {r.key: r.consults for r in catalogue.QUERIES["run_point_consults"](spark, str(tmp_path)).collect()}
     newest = {user: k // 500 for k, user, _, _ in rows}
     assert probed == {k: 3 - newest[k] if k < 400 else 3 for k in range(800)}
-    got = {(r.step, r.key): (r.present, r.val) for r in catalogue.QUERIES["kv_get_asof_all"](spark, str(tmp_path)).collect()}
+    got = {(r.step, r.key): (r.present, r.val) for r in catalogue.QUERIES["kv_get_asof"](spark, str(tmp_path)).collect()}
     state, want = {}, {}
     for step, user, kind, value in rows:
         key = (user * 31 + 7) % 400
@@ -122,6 +126,70 @@ def test_prefix_proofs_tell_logs_apart(spark):
     assert proof(rows) != proof([(s, k, kind, v + (s == 7)) for s, k, kind, v in rows])
 
 
+def test_null_keys_and_open_ranges(spark):
+    log = spark.createDataFrame([(0, None, "put", 1), (1, 5, "put", 2), (2, None, "put", 3), (3, None, "delete", 0), (4, 9, "put", 4), (5, -7, "put", 5)], LOG)
+    for slice_rows in (2, 100):
+        got = {r.seq: (r.key, r.present, r.prev_val) for r in temporal.previous_values(log, slice_rows).collect()}
+        assert got == {0: (None, False, None), 1: (5, False, None), 2: (None, True, 1), 3: (None, True, 3), 4: (9, False, None), 5: (-7, False, None)}
+    assert len(temporal.versions(log).collect()) == 6
+    gets = spark.createDataFrame([(3, None), (9, None), (9, 5)], "step long, key long")
+    assert {(r.step, r.key): (r.present, r.val) for r in temporal.get_as_of(log, gets).collect()} == {(3, None): (True, 3), (9, None): (False, None), (9, 5): (True, 2)}
+    far = 10**12
+    ranges = spark.createDataFrame([(6, 0, None, 9), (7, None, None, 9), (8, 5, far, 1), (2, -far, far, 9), (9, 3, 3, 9), (10, 6, 5, 9), (11, 5, 10, 0), (12, 10, None, 9), (13, -7, -6, 9)], "step long, start long, end long, limit int")
+    got = {tuple(r) for r in temporal.range_as_of(log, ranges).collect()}
+    assert got == {(6, 1, 5, 2), (6, 2, 9, 4), (7, 1, -7, 5), (7, 2, 5, 2), (7, 3, 9, 4), (8, 1, 5, 2), (2, 1, 5, 2), (13, 1, -7, 5)}
+    assert temporal.range_as_of(log.limit(0), ranges).count() == temporal.range_as_of(log, ranges.limit(0)).count() == 0
+
+
+def test_trace_files_and_their_validation(spark, tmp_path):
+    config = W.TraceConfig(0x517EED, "mixed", 40, 64, 24, 8, 7)
+    steps = W.trace(spark, config)
+    (tmp_path / "t.json").write_text(W.trace_json(config, steps))
+    back = W.read_traces(spark, str(tmp_path))
+    assert back.select(*W.NAMES).exceptAll(steps.select(*W.NAMES)).count() == steps.select(*W.NAMES).exceptAll(back.select(*W.NAMES)).count() == 0
+    assert back.select("generator.operations", "generator.reopen_every").head() == (40, 7)
+    assert W.trace_violations(config, back.select(*W.NAMES)).count() == 0
+    assert W.requires_range(back).head()[0] and not W.requires_range(back.limit(0)).head()[0]
+    (tmp_path / "t.json").write_text(W.trace_json(config, steps).replace('"seed":5340909,"generator"', '"seed":1,"generator"'))
+    with pytest.raises(InvalidInput):
+        W.read_traces(spark, str(tmp_path))
+    (tmp_path / "t.json").write_text(W.trace_json(config, steps).replace('"format_version":1', '"format_version":2'))
+    with pytest.raises(UnsupportedVersion):
+        W.read_traces(spark, str(tmp_path))
+
+
+def test_contracts_name_the_engine():
+    from ledgerfold.operators import contract
+
+    contract.require_range(contract.LEDGERFOLD)
+    with pytest.raises(InvalidInput, match="plain"):
+        contract.require_range(contract.LEDGERFOLD | {"name": "plain", "ordered_range": "false"})
+
+
+def test_batches_commit_as_a_whole(spark):
+    rows = [(1, 1, "upsert", 1, "t", "a"), (1, 2, "delete", 1, None, None), (2, 3, "upsert", 2, "t", "b"), (2, 4, "upsert", None, "t", "c"), (4, 6, "upsert", 3, "t", "d"), (5, 7, "drop", 1, "t", "e"), (5, 8, "upsert", 4, None, "f")]
+    rows += [(7, 100 + k, "delete", k, None, None) for k in range(1025)] + [(8, 2000 + k, "upsert", k, "t", "g") for k in range(10, 10 + 1024)]
+    ops = spark.createDataFrame(rows, "batch long, seq long, op string, id long, team string, name string")
+    batches = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 7, 8)], "batch long")
+    found = relational.commit_outcomes(batches, ops, USERS)
+    assert {r.batch: (r.tx_id, r.reason) for r in found.collect()} == {1: (1, None), 2: (None, "no key"), 3: (None, "no operations"), 4: (2, None), 5: (None, "unknown operation"), 7: (None, "too many operations"), 8: (3, None)}
+    assert {r.id for r in relational.committed(ops, found, USERS).collect()} == {3, *range(10, 1034)}
+    assert {r.id: r.ord for r in relational.in_order(relational.committed(ops, found, USERS), "id").collect()} == {k: i for i, k in enumerate([3, *range(10, 1034)])}
+
+
+def test_distributions_by_slices(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.choice([None, 1]), rng.randrange(-50, 1000)) for _ in range(700)] + [("c", None, 5), ("d", 2, None)]
+    samples = spark.createDataFrame(rows, "g string, h int, duration long")
+    for width in (1, 64, 1 << 16):
+        got = {(r.g, r.h): tuple(r)[2:] for r in evidence.distribution(samples, ["g", "h"], slice_values=width).collect()}
+        for group in {(g, h) for g, h, v in rows if v is not None}:
+            own = sorted(v for g, h, v in rows if (g, h) == group and v is not None)
+            rank = lambda p: own[-(-len(own) * p // 100) - 1]
+            assert got[group] == (len(own), own[0], rank(50), rank(95), own[-1])
+        assert ("d", 2) not in got
+
+
 def test_range_bounds():
     with pytest.raises(InvalidInput):
         temporal.check_range(5, 4, 1)
