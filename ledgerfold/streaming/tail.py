@@ -14,7 +14,8 @@ def live_state(spark: SparkSession, folder: str, state: str, checkpoint: str):
     """A query that follows Parquet files of mutations in `folder` and keeps the newest one of each key below `state`.
 
     Each micro-batch merges its own newest mutations with the last state and writes a new one, named by the batch. A
-    batch that runs again writes the same rows to the same place, so failures leave neither gaps nor doubles.
+    batch that runs again writes the same rows to the same place, so failures leave neither gaps nor doubles. Two states
+    are kept.
     Start it with .start(), or for what is there now with .trigger(availableNow=True).start().
     """
 
@@ -24,10 +25,18 @@ def live_state(spark: SparkSession, folder: str, state: str, checkpoint: str):
         if earlier:
             own = newest(own.unionByName(batch.sparkSession.read.schema(LOG).parquet(f"{state}/batch={max(earlier)}")), "key")
         own.select("seq", "key", "kind", "val").write.mode("overwrite").parquet(f"{state}/batch={number}")
+        # The last state stays for readers that found it before this one; no batch that may run again needs older ones.
+        for old in earlier[:-1]:
+            _delete(batch.sparkSession, f"{state}/batch={old}")
 
     return spark.readStream.schema(LOG).parquet(folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def state_batches(spark: SparkSession, state: str) -> list[int]:
     """Numbers of the states that were written whole."""
     jvm = spark.sparkContext._jvm

@@ -333,6 +333,7 @@ def test_streamed_log(spark, tmp_path):
         query.awaitTermination(120)
         want = temporal.fold(spark.createDataFrame(rows[: (part + 1) * 100], LOG))
         assert sorted(map(tuple, tail.read_state(spark, state).collect())) == sorted((r.key, r.seq, r.val) for r in want.collect())
+    assert len(tail.state_batches(spark, state)) == 2
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
