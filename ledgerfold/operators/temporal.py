@@ -33,17 +33,18 @@ def last_before(rows: DataFrame, key: str, order: str, payload: Column, name: st
     A null key is a key like any other.
 
     A window over a whole key would put a hot key into one task. Windows here span (key, slice of order), which has
-    slice_rows rows at most; what a slice begins with comes from the slices' last payloads.
+    slice_rows rows at most; what a slice begins with comes from the slices' last payloads, as a row before its first.
     """
-    sliced = rows.withColumn("__payload", payload).withColumn("__slice", F.expr(f"`{order}` div {slice_rows}"))
-    within = Window.partitionBy(key, "__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    near = sliced.withColumn("__near", F.last("__payload", ignorenulls=True).over(within))
+    sliced = rows.withColumn("__payload", payload).withColumn("__slice", F.expr(f"`{order}` div {slice_rows}")).withColumn("__first", F.lit(False))
     # Rows without a payload have no order here, so a slice of such rows alone is there with a null.
     ends = sliced.groupBy(key, "__slice").agg(F.max_by("__payload", F.when(F.col("__payload").isNotNull(), F.col(order))).alias("__end"))
     across = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(F.col(key).alias("__of_key"), F.col("__slice").alias("__of_slice"), F.last("__end", ignorenulls=True).over(across).alias("__carried"))
-    found = near.join(carried, near[key].eqNullSafe(carried["__of_key"]) & (near["__slice"] == carried["__of_slice"]))
-    return found.select(*rows.columns, F.coalesce("__near", "__carried").alias(name))
+    carried = ends.withColumn("__carried", F.last("__end", ignorenulls=True).over(across)).filter(F.col("__carried").isNotNull())
+    none = [F.col(c) if c == key else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]
+    firsts = carried.select(*none, F.col("__carried").alias("__payload"), "__slice", F.lit(True).alias("__first"))
+    within = Window.partitionBy(key, "__slice").orderBy(F.asc_nulls_first(order)).rowsBetween(Window.unboundedPreceding, -1)
+    found = sliced.unionByName(firsts).withColumn(name, F.last("__payload", ignorenulls=True).over(within))
+    return found.filter(~F.col("__first")).select(*rows.columns, name)
 
 
 def ranked(rows: DataFrame, column: str, slice_ids: int = SLICE, descending: bool = False) -> DataFrame:
@@ -105,11 +106,15 @@ def versions(log: DataFrame) -> DataFrame:
     return found.select("key", "kind", "val", F.col("seq").alias("valid_from"), "valid_to")
 
 
+def _levels(length: Column) -> Column:
+    """A level that the blocks of a range of that length don't exceed."""
+    return F.ceil(F.log2(length)).cast("int")
+
+
 def _blocks_of_ranges(ranges: DataFrame) -> DataFrame:
     """Ranges (step, start, end, limit) as dyadic blocks: level, block (the keys from block * 2 ** level on, 2 ** level of
     them). A range is at most two blocks a level, however long it is."""
-    levels = F.sequence(F.lit(0), F.lit(61))
-    spread = ranges.withColumn("__l", F.explode(levels))
+    spread = ranges.withColumn("__l", F.explode(F.sequence(F.lit(0), _levels(F.col("end") - F.col("start")))))
     spread = spread.withColumn("__first", -F.expr("shiftright(-start, __l)")).withColumn("__stop", F.expr("shiftright(`end`, __l)")).filter("__first < __stop")
     odd = lambda c: F.pmod(F.col(c), F.lit(2)) == 1
     blocks = F.array_compact(F.array(F.when(odd("__first"), F.col("__first")), F.when(odd("__stop"), F.col("__stop") - 1)))
@@ -125,11 +130,12 @@ def range_as_of(log: DataFrame, ranges: DataFrame, slice_rows: int = SLICE) -> D
     step as get_as_of does. The best `limit` rows of a step are kept by a window over that step's rows alone.
     """
     keys = log.select("key").filter("key IS NOT NULL").distinct()
-    least, most = (F.coalesce(keys.agg(f("key")).scalar(), F.lit(0)) for f in (F.min, F.max))
+    least, most = (F.coalesce(log.agg(f("key")).scalar(), F.lit(0)) for f in (F.min, F.max))
     # Bounds beyond the keys are drawn in, so that no level above the keys' own spread is needed.
     bounded = ranges.withColumn("start", F.greatest(F.coalesce("start", least), least)).withColumn("end", F.least(F.coalesce("end", most + 1), most + 1))
-    asked = _blocks_of_ranges(bounded.filter("start < `end` AND limit > 0"))
-    top = F.coalesce(asked.agg(F.max("level")).scalar(), F.lit(0))
+    bounded = bounded.filter("start < `end` AND limit > 0")
+    asked = _blocks_of_ranges(bounded)
+    top = F.coalesce(bounded.agg(_levels(F.max(F.col("end") - F.col("start")))).scalar(), F.lit(0))
     in_blocks = keys.withColumn("level", F.explode(F.sequence(F.lit(0), top))).withColumn("block", F.expr("shiftright(key, level)"))
     pairs = asked.join(in_blocks, ["level", "block"])
     val = log.schema["val"].dataType
