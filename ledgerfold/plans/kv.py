@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import codec
+from ..functions.codec import FNV_OFFSET, FNV_PRIME
 from ..operators import contract as C
 from ..operators import evidence as E
 from ..operators import runs as R
@@ -222,6 +223,9 @@ rg AS (SELECT pos, string_agg(key || '=' || val, ',' ORDER BY key) AS rows FROM
 outc AS (SELECT s.phase, s.pos - CASE WHEN s.phase = 'setup' THEN 0 ELSE s.h END AS step, CASE s.op WHEN 'range_scan' THEN 'range' WHEN 'reopen' THEN 'reopened' WHEN 'get' THEN 'value' ELSE 'previous' END AS result,
   coalesce(pt.was = 'put', false) AS present, CASE WHEN pt.was = 'put' THEN pt.old END AS val, CASE WHEN s.op = 'range_scan' THEN coalesce(rg.rows, '') END AS rows
 FROM of_half s LEFT JOIN pt ON pt.pos = s.pos LEFT JOIN rg ON rg.pos = s.pos)"""
+_BYTES = "list_transform(range(1, length(c_name) + 1), lambda i: CAST(ascii(c_name[i]) AS BIGINT))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BYTES}), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, k: xor(a >> 1, 3988292384::BIGINT * (a & 1)))), 4294967295::BIGINT)"
+_FNV = f"list_reduce(list_prepend({FNV_OFFSET}::UBIGINT, list_transform({_BYTES}, lambda b: CAST(b AS UBIGINT))), lambda h, b: CAST((CAST(xor(h, b) AS UHUGEINT) * {FNV_PRIME}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT))"
 PROOF = "sha256(string_agg(held, chr(10) ORDER BY pos)) AS held"
 
 
@@ -288,6 +292,7 @@ SELECT phase, k AS step, CASE k % 1000 WHEN 5 THEN 'differs' WHEN 7 THEN 'missin
 UNION ALL SELECT phase, k + 100000, 'additional' FROM k WHERE k % 1000 = 11""",
     "trace_requires_range": f"WITH {TRACE_EVENTS} SELECT count(*) FILTER (op = 'range_scan') > 0 AS requires_range FROM of_half",
     "trace_op_counts": "SELECT * FROM (VALUES ('setup', 'put', 6000::BIGINT), ('measured', 'range_scan', 5000), ('measured', 'reopen', 5000 // 70)) t(phase, op, n)",
+    "scalar_crc32": f"SELECT c_custkey AS id, {_CRC} AS crc, lpad(lower(to_hex({_FNV})), 16, '0') AS fnv1a64 FROM customer",
     "workload_violations": "SELECT k AS step, 'unknown operation' AS reason FROM range(1000 + 1000 // 11) t(k) WHERE k % 97 = 5",
     "sample_steps": "SELECT event_type AS operation, count(*) FILTER (event_id % 4 <> 0 AND event_id % 50 <> 3) AS measured, count(*) FILTER (event_id % 4 = 0) AS without_step, count(*) FILTER (event_id % 4 <> 0 AND event_id % 50 = 3) AS unknown_step FROM events GROUP BY 1",
     "kv_range_rejections": "SELECT event_id AS step, 'range end is before its start' AS reason FROM events WHERE event_id % 3 <> 0 AND event_id % 7 = 1",
