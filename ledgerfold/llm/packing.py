@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import ship, ship_file, shipped_file, written
 from .textarrays import slices, text_bytes
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 

@@ -66,7 +66,7 @@ class WordIds:
     #: An entry of the cache without its chunk's bytes and ids: a dictionary's entry, a bytes object, two numbers.
     ENTRY = 200
 
-    def __init__(self, tokenizer_file: str, last_id: int, max_bytes: int = 96 << 20):
+    def __init__(self, tokenizer_file: str, last_id: int, max_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
