@@ -14,6 +14,15 @@ def ledger_counts(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("disposition").agg(F.count(F.lit(1)).alias("n"))
 
 
+def declared_mismatches(ledger: DataFrame, declared: DataFrame) -> DataFrame:
+    """Dispositions whose declared number (disposition, declared) isn't the ledger's: disposition, declared, found. One that
+    is declared or found on one side only counts as none on the other."""
+    found = ledger_counts(ledger).select(F.col("disposition").alias("of_ledger"), F.col("n").alias("found"))
+    both = declared.join(found, F.col("disposition") == F.col("of_ledger"), "full")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return both.select(F.coalesce("disposition", "of_ledger").alias("disposition"), none("declared"), none("found")).filter("declared <> found")
+
+
 def expected_order(ledger: DataFrame, seed: int) -> DataFrame:
     """The order that the seed gives each pair: 0 is left first."""
     return ledger.select("pair_index", seeded_order(seed, F.col("pair_index")).alias("pair_order"))
@@ -88,6 +97,12 @@ def category_counts(samples: DataFrame) -> DataFrame:
     return samples.groupBy("operation").agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("work").isNull()).alias("missing_work"), F.count_if(F.col("step").isNull()).alias("missing_step"))
 
 
+def label_counts(samples: DataFrame, labels: list[str]) -> DataFrame:
+    """How many samples have each value of each label (unit, error class ...), and how many have none (null): label, value, n."""
+    pairs = samples.select(F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("string").alias("value")) for c in labels])).alias("x"))
+    return pairs.groupBy("x.label", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def projection_mismatches(timings: DataFrame) -> DataFrame:
     """Where the plain durations (durations) and the samples' (samples.duration) differ, in length too: id, place."""
     zipped = timings.select("id", F.posexplode(F.arrays_zip(F.col("durations").alias("a"), F.col("samples.duration").alias("b"))).alias("place", "both"))

@@ -42,6 +42,17 @@ def _failed(s, d):
     )
 
 
+def _declared(s, d):
+    """The ledger's numbers, one of them wrong, and a disposition that no pair has."""
+    right = E.ledger_counts(ledger(s, d)).select("disposition", (F.col("n") + F.when(F.col("disposition") == "failed", 2).otherwise(0)).alias("declared"))
+    return right.unionByName(s.createDataFrame([("lost", 3)], "disposition string, declared long"))
+
+
+def _labelled(s, d):
+    n = F.col("event_id")
+    return read(s, d, "events").select(F.when(n % 3 != 0, F.when(n % 2 == 0, "page").otherwise("byte")).alias("unit"), F.when(F.col("event_type") == "error", F.when(n % 4 == 0, "corruption").otherwise("io")).alias("error_class"))
+
+
 def _projections(s, d):
     """Durations and samples of a hundred events each, of which some differ and every tenth list lacks its last sample."""
     val = F.round(F.col("value") * 100).cast("long")
@@ -66,6 +77,8 @@ def _listing_ahead(s, d):
 
 
 QUERIES = {
+    "declared_mismatches": lambda s, d: E.declared_mismatches(ledger(s, d), _declared(s, d)),
+    "label_counts": lambda s, d: E.label_counts(_labelled(s, d), ["unit", "error_class"]),
     "failed_pair_evidence": lambda s, d: E.failed_pair_evidence(_failed(s, d)),
     "projection_mismatches": lambda s, d: E.projection_mismatches(_projections(s, d)).withColumn("place", F.col("place").cast("long")),
     "ledger_violations_of_each_kind": lambda s, d: E.ledger_violations(_broken_ledger(s, d), 1),
@@ -94,6 +107,9 @@ SQL = {
 SELECT 'completed_first' AS selection, n AS pair_index, k AS place, 'put' AS operation, first + k AS duration, NULL AS error_class FROM f, range(2) t(k) WHERE n % 2 = 0
 UNION ALL SELECT 'failing_prefix', n, k, 'put', first + 10 + 10 * k, NULL FROM f, range(2) t(k) WHERE k < n % 3
 UNION ALL SELECT 'failure', n, 0, 'get', first, 'io' FROM f WHERE n % 5 <> 0""",
+    "declared_mismatches": f"WITH {LEDGER} SELECT 'failed' AS disposition, count(*) + 2 AS declared, count(*) AS found FROM ledger WHERE disposition = 'failed' UNION ALL SELECT 'lost', 3, 0",
+    "label_counts": """WITH e AS (SELECT CASE WHEN event_id % 3 <> 0 THEN CASE WHEN event_id % 2 = 0 THEN 'page' ELSE 'byte' END END AS unit, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 4 = 0 THEN 'corruption' ELSE 'io' END END AS error_class FROM events)
+SELECT 'unit' AS label, unit AS value, count(*) AS n FROM e GROUP BY unit UNION ALL SELECT 'error_class', error_class, count(*) FROM e GROUP BY error_class""",
     "projection_mismatches": """WITH e AS (SELECT event_id, event_id // 100 AS id, row_number() OVER (PARTITION BY event_id // 100 ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY event_id // 100) AS n FROM events)
 SELECT id, place FROM e WHERE event_id % 97 = 5 OR (id % 10 = 3 AND place = n - 1)""",
     "ledger_violations_of_each_kind": f"""WITH {LEDGER}, n AS (SELECT max(pair_index) AS top FROM ledger)
