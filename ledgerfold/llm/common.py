@@ -113,6 +113,14 @@ def shipped_file(name: str) -> str:
     return SparkFiles.get(name)
 
 
+def free_name(name: str, df: DataFrame) -> str:
+    """name, with as many underscores after it as make it no column's name (Spark's names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
     """Rows of (id, `by`): of each value of `by` some `most` rows, or all if there are fewer. Which, the ids' hashes
     say. The values are a classifier's classes: the driver holds a number for each, as the model does."""

@@ -31,9 +31,10 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, others: list[str]) -> Da
     return docs.select(F.col(id_col).cast("long").alias("__id"), F.md5(text).alias("__text"), F.split(text, "\n", -1).alias("__lines"), *others)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5, keep_columns: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_chars: int = 40, min_docs: int = 5, keep_columns: bool = False, counts: tuple[str, str] = ("__n_lines", "__n_dropped")) -> DataFrame:
     """One row per row of docs: doc_id, n_lines (before), n_dropped, text (after). With keep_columns: the columns
-    of docs with the new text in text_col, then __n_lines and __n_dropped.
+    of docs with the new text in text_col, then the two counts under the names of `counts`; columns of docs that have
+    these names (in any case) are replaced.
 
     Lines end at \\n. Those whose key has at least min_chars code points and is found in at least min_docs
     distinct documents are dropped, except in the largest id that holds the key, where all of them stay.
@@ -72,6 +73,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.array_join(F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(left), "\n")
     n_lines, n_dropped = F.size("__lines").cast("long"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     if keep_columns:
-        own = [text.alias(c) if c == text_col else F.col(f"__own_{i}").alias(c) for i, c in enumerate(docs.columns)]
-        return joined.select(*own, n_lines.alias("__n_lines"), n_dropped.alias("__n_dropped"))
+        replaced = {c.lower() for c in counts}
+        own = [text.alias(c) if c == text_col else F.col(f"__own_{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in replaced]
+        return joined.select(*own, n_lines.alias(counts[0]), n_dropped.alias(counts[1]))
     return joined.select(F.col("__doc_id").alias("doc_id"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), text.alias("text"))

@@ -7,6 +7,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark.sql import functions as F
 from test_near_dedup import brute
 from test_packing import brute_bins
 from tokenizers import Tokenizer
@@ -77,6 +78,18 @@ def test_stages(spark):
     assert after.select("sequence_id").distinct().count() == len(brute_bins(lengths, 4096))
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["__n_dropped", "__N_lines", "__score", "__text", "__lang_pred", "__kept", "__text_hash", "__id", "class_id", "kept", "node"]
+    docs = written(documents.select("*", *[F.lit(f"own {c}").alias(c) for c in names]), "clashing")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), "clashing")
+        assert docs.columns == [*documents.columns, *names], name
+        rows = docs.select(*names).distinct().collect()
+        assert [tuple(r) for r in rows] == [tuple(f"own {c}" for c in names)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= docs.count()
+
+
 def test_run_is_the_stages_in_a_row(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
