@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerfold.llm import language_id, toxicity
-from ledgerfold.llm.common import table, written
+from ledgerfold.llm.common import free_name, table, written
 from ledgerfold.llm.line_dedup import line_dedup
 from ledgerfold.llm.near_dedup import near_dedup
 from ledgerfold.llm.packing import pack
@@ -34,8 +34,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share; n_chars follows the text."""
-    left = line_dedup(docs, keep_columns=True)
-    n_chars = F.when(F.col("__n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    counts = free_name("__n_lines", docs), free_name("__n_dropped", docs)
+    left, dropped = line_dedup(docs, keep_columns=True, counts=counts), F.col(counts[1]) > 0
+    n_chars = F.when(dropped, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
