@@ -198,7 +198,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = in_bucket.select("node").distinct().join(nodes.select("node", "id", "text_hash", "c0", "c1"), "node")
     wanted = written(wanted.withColumnsRenamed({"id": "of_id", "text_hash": "of_text"}), "near-nodes")
     same = texts["id"].eqNullSafe(wanted["of_id"]) & (texts["text_hash"] == wanted["of_text"])
-    held = texts.join(wanted, same).select("node", "text", "c0", "c1").mapInArrow(_shingle_rows, "node long, elements binary")
+    # wanted grows with the corpus, so it is never broadcast: the texts are shuffled at every size alike.
+    held = texts.join(wanted.hint("merge"), same).select("node", "text", "c0", "c1").mapInArrow(_shingle_rows, "node long, elements binary")
     held = written(held.dropDuplicates(["node"]), "near-shingles")
 
     stars = in_bucket.filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
