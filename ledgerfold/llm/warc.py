@@ -77,16 +77,44 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return found.select("page_id", F.concat(head, F.lit("\r\n"), block).alias("record"))
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _placed(batches: Iterator[pa.RecordBatch], most_records: int, most_bytes: int) -> Iterator[tuple[int, int, bytes]]:
+    """A task's records with their terminators, each with its file's number and its place there. A file has no more than
+    most_records records and most_bytes bytes, or one record."""
+    file = place = size = 0
     for batch in batches:
-        held, size = [], 0
         for record in batch.column(0):
-            held.append(gzip.compress((record.as_py() + END).encode(), 6, mtime=0))
-            size += len(held[-1])
-            if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
-                held, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
+            text = (record.as_py() + END).encode()
+            if place and (place == most_records or size + len(text) > most_bytes):
+                file, place, size = file + 1, 0, 0
+            yield file, place, text
+            place, size = place + 1, size + len(text)
+
+
+def _members(batches: Iterator[pa.RecordBatch], most_records: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The records' gzip members, a row each. The sink begins a file after every most_records rows: where one is full
+    of bytes before, empty rows fill it up."""
+    rows, held, size = 0, [], 0
+    for file, place, text in _placed(batches, most_records, most_bytes):
+        empty = file * most_records + place - rows
+        held += [b""] * empty + [gzip.compress(text, 6, mtime=0)]
+        rows, size = rows + empty + 1, size + len(held[-1])
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
+            held, size = [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], most_records: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The records without their terminators, a row each, with their files' numbers."""
+    names, files, held, size = ["file", "value"], [], [], 0
+    for file, _, text in _placed(batches, most_records, most_bytes):
+        files.append(file)
+        held.append(text[: -len(END)].decode())
+        size += len(text)
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(held, pa.string())], names=names)
+            files, held, size = [], [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), pa.array(held, pa.string())], names=names)
 
 
 def write_warc(records: DataFrame, path: str, *, records_per_file: int = 2000, bytes_per_file: int = 1 << 28, compressed: bool = True) -> int:
@@ -94,30 +122,21 @@ def write_warc(records: DataFrame, path: str, *, records_per_file: int = 2000, b
     how many there were. Bounded files keep a reader's memory bounded: a file has no more than bytes_per_file bytes
     before compression, or one record.
 
-    The sink counts records, not bytes, so those larger than an equal share of a file are written after the others,
-    by classes of size (powers of 4) with fewer to a file. Only tables that hold such records are read again.
+    The records are computed once, whatever their sizes. The sink counts records, not bytes: compressed files that are
+    full of bytes before are filled up with empty members. Nothing may stand between plain records, so plain files lie
+    in folders, one for each number of a file in its task.
     """
+    ship(records.sparkSession)
+    bounds, seen = (records_per_file, bytes_per_file), Observation()
+    rows = records.observe(seen, F.count(F.lit(1)).alias("n")).select("record")
     if compressed:
-        ship(records.sparkSession)
-    share, seen = max(1, bytes_per_file // records_per_file - len(END)), Observation()
-    size = F.octet_length("record")
-
-    def put(rows: DataFrame, most: int, mode: str) -> None:
-        if compressed:
-            # The sink writes a string's bytes as they are; between two it puts a member that holds nothing.
-            rows = rows.select("record").mapInArrow(_members, "value binary").select(F.col("value").cast("string"))
-            sink = rows.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1"))
-        else:
-            sink = rows.select(F.col("record").alias("value")).write.option("lineSep", END)
-        sink.mode(mode).option("maxRecordsPerFile", most).text(path)
-
-    put(records.observe(seen, F.count(F.lit(1)).alias("n"), F.max(size).alias("most")).filter(size <= share), records_per_file, "errorifexists")
-    found = seen.get
-    above = share
-    while above < (found.get("most") or 0):
-        put(records.filter((size > above) & (size <= above * 4)), max(1, bytes_per_file // (above * 4 + len(END))), "append")
-        above *= 4
-    return found.get("n") or 0
+        # The sink writes a string's bytes as they are; between two it puts a member that holds nothing.
+        values = rows.mapInArrow(lambda batches: _members(batches, *bounds), "value binary").select(F.col("value").cast("string"))
+        values.write.option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).option("maxRecordsPerFile", records_per_file).text(path)
+    else:
+        values = rows.mapInArrow(lambda batches: _numbered(batches, *bounds), "file long, value string")
+        values.write.partitionBy("file").option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    return seen.get.get("n") or 0
 
 
 def _header(raw: bytes, start: int) -> tuple[dict[bytes, bytes], int] | None:

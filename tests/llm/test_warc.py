@@ -164,6 +164,32 @@ def test_files_are_bounded_by_bytes(spark, tmp_path, compressed):
     assert all(r["max(stop)"] <= 60_000 or r["count(1)"] == 1 for r in held)
 
 
+@pytest.mark.parametrize("compressed", [False, True])
+def test_records_of_any_size_are_computed_once(spark, tmp_path, compressed):
+    sizes = [10] * 40 + [6_000] * 12 + [30_000] * 5 + [70_000] * 2 + [200_000]
+    random.Random(2).shuffle(sizes)
+    pages = spark.createDataFrame([(k, "u", random.Random(k).randbytes(n // 2).hex()) for k, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    records = page_records(pages).coalesce(1)
+    path = str(tmp_path / "once")
+    assert write_warc(records.mapInArrow(counted, records.schema), path, records_per_file=20, bytes_per_file=60_000, compressed=compressed) == len(sizes)
+    assert computed.value == len(sizes)
+    back = read_warc(spark, path)
+    assert back.filter("kind = 'gap'").count() == 0
+    assert sorted(int(r.record_id) for r in back.select("record_id").collect()) == list(range(len(sizes)))
+    for name in back.select("file").distinct().collect():
+        raw = open(name.file.removeprefix("file:"), "rb").read()
+        held = gzip.decompress(raw) if compressed else raw
+        n = held.count(b"WARC/1.1\r\n")
+        assert 1 <= n <= 20 and (len(held) <= 60_000 or n == 1)
+
+
 @pytest.mark.parametrize("damage", ["noise", "lost file"])
 def test_a_damaged_archive_is_an_error(spark, tmp_path, monkeypatch, damage):
     def damaged(records, path, write=write_warc):
